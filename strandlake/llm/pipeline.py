@@ -6,21 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import exact_dedup, packing
+from strandlake.llm import exact_dedup, packing, quality_net, quality_rules, simhash
 from strandlake.llm.common import Scratch, table
 from strandlake.llm.tokens import default_vocabulary
 
 
+def judge_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def judge_by_net(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Trains on the labelled rows of the whole table: those that the stages before have removed are the bad examples."""
+    net = quality_net.train_on(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_net.keep_good(docs, net)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one_of_each(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digest_pieces(packing.pack(docs, default_vocabulary()))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", judge_by_rules),
+    ("quality_classifier", judge_by_net),
     ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
     ("packing", pack),
 ]
 
