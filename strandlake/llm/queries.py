@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.llm import exact_dedup, packing, quality_net, quality_rules, simhash, token_files, tokens
+from strandlake.llm import exact_dedup, html_text, packing, quality_net, quality_rules, simhash, token_files, tokens
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_simhash": simhash.op7_simhash,
+    "op8_html_text": html_text.op8_html_text,
     "op9_quality_classifier": quality_net.op9_quality_classifier,
     "op10_token_files": token_files.op10_token_files,
 }
