@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandlake.llm import exact_dedup, html_text, packing, quality_net, quality_rules, simhash, token_files, tokens
+from strandlake.llm import chat_format, exact_dedup, html_text, packing, quality_net, quality_rules, simhash, token_files, tokens
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_bpe_codec": tokens.op3_bpe_codec,
     "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op7_simhash": simhash.op7_simhash,
     "op8_html_text": html_text.op8_html_text,
     "op9_quality_classifier": quality_net.op9_quality_classifier,
@@ -16,4 +17,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op6_chat_format": chat_format.ORACLE,
 }
