@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandlake.llm import chat_format, exact_dedup, html_text, packing, quality_net, quality_rules, simhash, token_files, tokens
+from strandlake.llm import chat_format, exact_dedup, html_text, line_dedup, packing, quality_net, quality_rules, simhash, token_files, tokens
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_bpe_codec": tokens.op3_bpe_codec,
     "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
