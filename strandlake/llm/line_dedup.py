@@ -288,7 +288,7 @@ def line_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", th
     roots = components(_links(rows, threshold), scratch)
     ties = scratch.save(named.join(roots, named["node"] == roots["u"], "left").select("h", "g", F.coalesce("root", "node").alias("root")).dropDuplicates(["h", "g"]), "ties")
     real = F.length(F.trim("line")) > 0
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.posexplode(F.split(whole_text(text), "\n")).alias("pos", "line"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), whole_text(text).alias("_t")).select("_row", "_id", F.posexplode(F.split("_t", "\n")).alias("pos", "line"))
     places = scratch.save(numbered.select("_row", "_id", "pos", real.alias("real"), F.xxhash64("line").alias("h"), F.hash("line").alias("g")), "places")
     alone = F.col("root").isNull()
     classed = places.join(ties, ["h", "g"], "left").select("_row", "_id", "pos", "real", F.coalesce("root", F.lit(-1)).alias("root"), F.when(alone, F.col("h")).otherwise(0).alias("h"), F.when(alone, F.col("g")).otherwise(0).alias("g"))
