@@ -28,6 +28,8 @@ THRESHOLD = 2
 MIN_CHARS = 16
 #: The most lines of a tile, about.
 TILE = 256
+#: Bits of the filter through which lines pass before those that are wanted are joined: 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
 #: A task remembers so many lines whose keys it has sent.
 REMEMBERED = 1 << 20
 
@@ -204,6 +206,17 @@ def _meetings(lines: DataFrame, threshold: int, min_chars: int, scratch: Scratch
     return scratch.save(met.distinct(), "meetings")
 
 
+def _perhaps(lines: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Lines whose hash may be among the wanted ones: a bitmap of fixed size is broadcast, and most others need not be shuffled."""
+    slot = F.pmod("h", F.lit(bits).cast("long"))
+    maps = wanted.select(F.floor(slot / 32768).alias("m"), (slot % 32768).alias("p")).groupBy("m").agg(F.bitmap_construct_agg("p").alias("bitmap"))  # bits / 32768 rows of 4 KB
+    at = slot % 32768
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = lines.withColumn("m", F.floor(slot / 32768)).join(F.broadcast(maps), "m")
+    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8).cast("int") + 1)
+    return found.where(byte.bitwiseAND(bit) != 0).drop("m", "bitmap")
+
+
 def _links(rows: DataFrame, threshold: int) -> DataFrame:
     """Edges (u, v) between nodes of rows (key, s, t, tile, filed, node, line), which come together by (key, s, t)."""
 
@@ -278,7 +291,7 @@ def line_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", th
     lines = _lines(docs, text).select("line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
     met = _meetings(lines, threshold, min_chars, scratch)
     wanted = scratch.save(met.select("h").distinct(), "wanted")
-    texts = lines.where(F.char_length("line") >= min_chars).join(wanted, "h", "left_semi").distinct()
+    texts = _perhaps(lines.where(F.char_length("line") >= min_chars), wanted).join(wanted, "h", "left_semi").select("line", "h", "g").distinct()
     named = scratch.save(texts.sortWithinPartitions("h", "g", "line").withColumn("node", F.monotonically_increasing_id()), "named")
     sizes = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles")).where("tiles > 1")
     placed = met.join(sizes, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
