@@ -66,7 +66,7 @@ def block_names(docs: DataFrame, text: str = "text", id_col: str = "doc_id", blo
             break
         even = F.col("pos") % 2 == 0
         pairs = now.where("n > 1").groupBy("row_id", F.floor(F.col("pos") / 2).cast("int").alias("pos")).agg(F.ceil(F.max("n") / 2).cast("int").alias("n"), F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("b"))
-        now = pairs.join(_named(pairs.select("a", "b"), ["a", "b"]), ["a", "b"]).select("row_id", "n", "pos", "name")
+        now = pairs.join(scratch.save(_named(pairs.select("a", "b"), ["a", "b"]), f"pairs_{level}"), ["a", "b"]).select("row_id", "n", "pos", "name")
         level, most = level + 1, -(-most // 2)
     if not done:
         return rows.select("row_id", id_col, "text_sha256", F.lit(0).alias("levels"), F.lit(0).cast("long").alias("name"))
@@ -82,9 +82,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **h
     Of equal texts the row with the largest id stays; null ids come before all others. Of repeated rows (same id, same
     text) one stays, so that exactly one row of every group is kept. copies counts the rows of a group that share the id.
     """
-    named = Scratch(docs.sparkSession, "exact_dedup").save(block_names(docs, text, id_col, **how), "named")
+    scratch = Scratch(docs.sparkSession, "exact_dedup")
+    named = scratch.save(block_names(docs, text, id_col, **how), "named")
     last = F.max(F.struct(F.col(id_col), F.col("row_id")))
     groups = named.groupBy("levels", "name").agg(last.alias("_top"), F.count(F.lit(1)).alias("group_size"))
+    groups = scratch.save(groups, "groups")  # so that both sides of the join below are exchanges, whose hot partitions are split
     kept = F.col("row_id") == F.col("_top.row_id")
     return named.join(groups, ["levels", "name"]).select(F.col(id_col), F.col(f"_top.{id_col}").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
 
