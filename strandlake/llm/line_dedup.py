@@ -291,7 +291,8 @@ def line_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", th
     lines = _lines(docs, text).select("line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
     met = _meetings(lines, threshold, min_chars, scratch)
     wanted = scratch.save(met.select("h").distinct(), "wanted")
-    texts = _perhaps(lines.where(F.char_length("line") >= min_chars), wanted).join(wanted, "h", "left_semi").select("line", "h", "g").distinct()
+    # An inner join with distinct hashes: a semi join would be pushed below the filter.
+    texts = _perhaps(lines.where(F.char_length("line") >= min_chars), wanted).join(wanted, "h").select("line", "h", "g").distinct()
     named = scratch.save(texts.sortWithinPartitions("h", "g", "line").withColumn("node", F.monotonically_increasing_id()), "named")
     sizes = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles")).where("tiles > 1")
     placed = met.join(sizes, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
