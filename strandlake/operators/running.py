@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 BIN = 1 << 16
 
 
-def running(df: DataFrame, by: list[str], position: str, order: list[str | Column], value: Column, how: str, name: str, before_only: bool = False, bin_width: int = BIN) -> DataFrame:
-    """Adds `name`: the sum or max of value over the rows up to this one (or before it) of its partition in that order.
+def running(df: DataFrame, by: list[str], position: str, order: list[str | Column], value: Column, how: str, name: str, before_only: bool = False, bin_width: float = BIN) -> DataFrame:
+    """Adds `name`: the sum, max or min of value over the rows up to this one (or before it) of its partition in that order.
 
     order must begin with position, ascending, and be total up to rows that are alike.
     """
-    agg = {"sum": F.sum, "max": F.max}[how]
-    join = (lambda a, b: F.coalesce(a + b, a, b)) if how == "sum" else (lambda a, b: F.greatest(a, b))
+    agg = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+    join = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least}[how]
     rows = df.withColumn("_bin", F.floor(F.col(position) / bin_width)).withColumn("_v", value)
     bins = rows.groupBy(*by, "_bin").agg(agg("_v").alias("_all"))
     carried = bins.select(*by, "_bin", agg("_all").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     here = Window.partitionBy(*by, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before_only else 0)
     rows = rows.withColumn("_own", agg("_v").over(here))
-    return rows.join(carried, [*by, "_bin"]).withColumn(name, join(F.col("_own"), F.col("_carry"))).drop("_bin", "_v", "_own", "_carry")
+    carried = carried.withColumnRenamed("_bin", "_bin2")
+    for c in by:
+        carried = carried.withColumnRenamed(c, f"_{c}2")
+    same = F.col("_bin").eqNullSafe(F.col("_bin2"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}2"))
+    return rows.join(carried, same).drop("_bin2", *[f"_{c}2" for c in by]).withColumn(name, join(F.col("_own"), F.col("_carry"))).drop("_bin", "_v", "_own", "_carry")

@@ -19,7 +19,7 @@ VIEWS = {
     "dna": "SELECT doc_id, {letters_only} AS seq FROM documents",
     "counts": "SELECT p_brand AS gene, n_name AS sample, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS count FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY p_brand, n_name",
     "clonotypes": "SELECT user_id AS clone, event_type AS sample, CAST(floor((extract(day FROM ts) - 1) / 7) AS BIGINT) AS timepoint, value FROM events",
-    "survival": "SELECT o_orderkey AS id, CAST(o_totalprice AS BIGINT) % 500 + 1 AS time, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS status, c_mktsegment AS grp FROM orders JOIN customer ON o_custkey = c_custkey",
+    "survival": "SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 500 + 1 AS time, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS status, c_mktsegment AS grp FROM orders JOIN customer ON o_custkey = c_custkey",
     "genotypes": "SELECT c_custkey AS sample, p_partkey AS snp, c_nationkey AS pop, CASE WHEN (c_custkey + p_partkey) % 17 = 0 THEN NULL ELSE (7 * c_custkey + 13 * p_partkey + c_custkey * p_partkey % 5) % 3 END AS dosage FROM customer CROSS JOIN part WHERE p_partkey % 40 = 1 AND c_custkey % 5 = 0",
     "genesets": "SELECT r_name AS term, n_name AS gene FROM nation JOIN region ON n_regionkey = r_regionkey",
     "peptides": "SELECT p_brand AS protein, s_nationkey AS sample, l_extendedprice AS intensity, l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey",
