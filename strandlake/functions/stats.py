@@ -21,11 +21,11 @@ _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
 def lgamma(x):
-    return _lgamma(np.asarray(x, float)).astype(float)
+    return np.asarray(_lgamma(np.asarray(x, float)), float)
 
 
 def norm_sf(z):
-    return 0.5 * _erfc(np.asarray(z, float) / math.sqrt(2)).astype(float)
+    return 0.5 * np.asarray(_erfc(np.asarray(z, float) / math.sqrt(2)), float)
 
 
 def norm_ppf(p):

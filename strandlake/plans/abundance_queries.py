@@ -31,12 +31,12 @@ one("size_factors", "counts", lambda d: ab.size_factors(d, "gene", "sample", "co
 one("normalized_counts", "counts", lambda d: ab.normalize(d, ab.size_factors(d, "gene", "sample", "count"), "sample", "count").select("gene", "sample", r("normalized", 6)), f"SELECT gene, sample, round(count / f, 6) AS normalized FROM counts JOIN ({FACTORS}) USING (sample)")
 one("counts_per_million", "counts", lambda d: ab.counts_per_million(d, "sample", "count").select("gene", "sample", r("cpm", 5), r("log_cpm", 7)), "SELECT gene, sample, round(count * 1e6 / sum(count) OVER w, 5) AS cpm, round(log2((count + 0.5::DOUBLE) / (sum(count) OVER w + 1) * 1e6), 7) AS log_cpm FROM counts WINDOW w AS (PARTITION BY sample)")
 one("vst", "counts", lambda d: d.select("gene", "sample", F.round(ab.vst(F.col("count").cast("double"), F.lit(0.1)), 7).alias("v")), "SELECT gene, sample, round(2 / sqrt(0.1::DOUBLE) * asinh(sqrt(0.1::DOUBLE * count)) / ln(2), 7) AS v FROM counts")
-GROUPED = "SELECT gene, sample, count, CASE WHEN sample < 'J' THEN 'a' ELSE 'b' END AS grp FROM counts"
+GROUPED = "SELECT gene, sample, count, CASE WHEN length(sample) = 8 THEN 'a' ELSE 'b' END AS grp FROM counts"
 WELCH = "WITH s AS (SELECT gene, count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb, avg(count) FILTER (grp = 'a') AS ma, avg(count) FILTER (grp = 'b') AS mb, var_samp(count) FILTER (grp = 'a') AS va, var_samp(count) FILTER (grp = 'b') AS vb FROM @ GROUP BY gene)"
 one("fold_change", GROUPED, lambda d: ab.log_fold(d, "gene", "grp", "count", "a", "b").select("gene", r("log2fc", 7), r("t", 6), r("df", 4)), WELCH + " SELECT gene, round(log2((mb + 1) / (ma + 1)), 7) AS log2fc, round((mb - ma) / sqrt(va / na + vb / nb), 6) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df FROM s WHERE na > 1 AND nb > 1")
 one("differential_expression", GROUPED, lambda d: ab.differential(d, "gene", "grp", "count", "a", "b").select("gene", "log2fc", "pvalue", "padj"), None)
 one("remove_batch_effect", GROUPED, lambda d: ab.batch_residual(d, "gene", "grp", "count").select("gene", "sample", r("corrected", 6)), "SELECT gene, sample, round(count - avg(count) OVER (PARTITION BY gene, grp) + avg(count) OVER (PARTITION BY gene), 6) AS corrected FROM @")
-one("tmm_values", "counts", lambda d: ab.tmm_pairs(d, "gene", "sample", "count", "FRANCE").select("gene", "sample", r("m", 7), r("a", 7)), "WITH p AS (SELECT gene, sample, count / sum(count) OVER (PARTITION BY sample) AS p FROM counts WHERE count > 0) SELECT p.gene, p.sample, round(log2(p.p / q.p), 7) + 0 AS m, round(log2(p.p * q.p) / 2, 7) AS a FROM p JOIN p q ON p.gene = q.gene AND q.sample = 'FRANCE'")
+one("tmm_values", "counts", lambda d: ab.tmm_pairs(d, "gene", "sample", "count", "NATION_3").select("gene", "sample", r("m", 7), r("a", 7)), "WITH p AS (SELECT gene, sample, count / sum(count) OVER (PARTITION BY sample) AS p FROM counts WHERE count > 0) SELECT p.gene, p.sample, round(log2(p.p / q.p), 7) + 0 AS m, round(log2(p.p * q.p) / 2, 7) AS a FROM p JOIN p q ON p.gene = q.gene AND q.sample = 'NATION_3'")
 one("clr_transform", "counts", lambda d: ab.centred_log_ratio(d, "sample", "count").select("gene", "sample", r("clr", 7)), "SELECT gene, sample, round(ln(count + 0.5::DOUBLE) - avg(ln(count + 0.5::DOUBLE)) OVER (PARTITION BY sample), 7) AS clr FROM counts")
 one("bray_curtis", "counts", lambda d: ab.bray_curtis(d, "gene", "sample", "count").withColumn("distance", r("distance")), "WITH t AS (SELECT sample, sum(count) AS t FROM counts GROUP BY 1), w AS (SELECT x.sample AS a, y.sample AS b, sum(least(x.count, y.count)) AS w FROM counts x JOIN counts y ON x.gene = y.gene AND x.sample < y.sample GROUP BY 1, 2) SELECT x.sample AS a, y.sample AS b, round(1 - 2 * coalesce(w, 0) / (x.t + y.t), 8) AS distance FROM t x JOIN t y ON x.sample < y.sample LEFT JOIN w ON w.a = x.sample AND w.b = y.sample")
 one("community_diversity", "counts", lambda d: rp.diversity_of_counts(d, "count", ["sample"]).select("sample", "total", "richness", r("shannon", 6), r("simpson", 9), r("inverse_simpson", 5)), DIVERSITY.format(by="sample", n="SELECT sample, gene, count AS n FROM counts"))
