@@ -71,16 +71,15 @@ def fit_nb(y: np.ndarray, x: np.ndarray, offset: np.ndarray, alpha: float, round
 
 
 def moment_dispersion(y: np.ndarray, size: np.ndarray, groups: np.ndarray) -> float:
-    """From the variance of normalised counts within groups over their mean."""
+    """From the variance of normalised counts within groups, less what the counting itself adds, over the groups' squared means."""
     q = y / size
-    resid, means, n = 0.0, 0.0, 0
+    over, squares = 0.0, 0.0
     for g in np.unique(groups):
-        v = q[groups == g]
-        resid += ((v - v.mean()) ** 2).sum()
-        means += v.sum()
-        n += len(v) - 1
-    m = means / len(y)
-    return max(1e-8, (resid / max(1, n) - m * (1 / size).mean()) / m**2) if m > 0 else 1e-8
+        own = groups == g
+        v, m = q[own], q[own].mean()
+        over += ((v - m) ** 2).sum() - (len(v) - 1) * m * (1 / size[own]).mean()
+        squares += (len(v) - 1) * m * m
+    return max(1e-8, over / squares) if squares > 0 else 1e-8
 
 
 def negative_binomial_test(counts: DataFrame, design: DataFrame, factors: DataFrame, gene: str = "gene", sample: str = "sample", n: str = "count") -> DataFrame:
