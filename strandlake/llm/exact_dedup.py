@@ -97,10 +97,12 @@ def keep_first_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     top = named.groupBy("levels", "name").agg(F.max(F.struct(F.col(id_col), F.col("row_id"))).alias("_top"))
     tops = named.join(top, ["levels", "name"]).where(F.col(id_col).eqNullSafe(F.col(f"_top.{id_col}")))
     keys = tops.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_copies"))
-    own = docs.withColumn("_sha", F.sha2(lower_az(whole_text(text)).cast("binary"), 256))
-    found = own.join(keys, own["_sha"].eqNullSafe(keys["_sha"]) & own[id_col].eqNullSafe(keys["_id"])).drop(keys["_sha"], "_id")
-    once, more = found.where("_copies = 1"), found.where("_copies > 1").dropDuplicates([id_col, "_sha"])
-    return once.union(more).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of docs clashes with those joined to it
+    own_text, own_id = names[docs.columns.index(text)], names[docs.columns.index(id_col)]
+    own = docs.toDF(*names).withColumn("_sha2", F.sha2(lower_az(whole_text(own_text)).cast("binary"), 256))
+    found = own.join(keys, F.col("_sha2").eqNullSafe(F.col("_sha")) & F.col(own_id).eqNullSafe(F.col("_id")))
+    once, more = found.where("_copies = 1"), found.where("_copies > 1").dropDuplicates([own_id, "_sha"])
+    return once.union(more).select(*names).toDF(*docs.columns)
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -68,6 +68,19 @@ def test_exact_dedup(docs, how):
     assert exact_dedup.keep_first_copies(docs, **how).count() == len(groups)
 
 
+def test_clashing_names(docs):
+    """Extra columns may be called what the operators call their own."""
+    from pyspark.sql import functions as F
+
+    extra = docs.limit(5).withColumns({n: F.lit("x") for n in ("_sha", "_id", "_copies", "_fp", "_t", "fp", "name", "keys", "row_id", "f_n_words", "n_words", "_score", "h", "line", "pos")})
+    assert exact_dedup.keep_first_copies(extra).columns == extra.columns and exact_dedup.exact_dedup(extra).count() == 5
+    assert simhash.keep_one_of_each(extra).columns == extra.columns and simhash.near_dedup(extra).count() == 5
+    assert quality_rules.keep_good(extra).columns == extra.columns and quality_rules.judge(extra).count() == 5
+    assert quality_net.keep_good(extra, quality_net.Net()).columns == extra.columns
+    assert tokens.encode_documents(extra, tokens.default_vocabulary()).count() == 5
+    assert packing.pack(extra, tokens.default_vocabulary()).count() >= 5
+
+
 def test_exact_dedup_with_meeting_hashes(docs, nothing):
     from pyspark.sql import functions as F
 
