@@ -118,24 +118,32 @@ def aliphatic_index(seq: Column) -> Column:
 # --- rows for each place ---------------------------------------------------------------------------------------------
 
 
-def chunks(df: DataFrame, seq: str, overlap: int, size: int = CHUNK) -> DataFrame:
-    """Rows (…, _at, _part): chunks of a sequence, each with `overlap` characters of the next; cut as bytes, in linear time."""
+def chunks(df: DataFrame, seq: str, overlap: int, size: int = CHUNK, spread: bool = False) -> DataFrame:
+    """Rows (…, _at, _part): chunks of a sequence, each with `overlap` characters of the next; cut as bytes, in linear time.
+
+    spread deals the chunks out anew, for few long sequences (a genome): one shuffle of the letters, so that no task holds
+    a whole chromosome's work. Reads need none.
+    """
     raw = F.col(seq).cast("binary")
     n = F.octet_length(raw)
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1 - overlap), F.lit(size))).alias("_at")
-    return df.where(n > overlap).select("*", at).withColumn("_part", F.substring(raw, F.col("_at") + 1, F.lit(size + overlap)).cast("string"))
+    rows = df.where(n > overlap).select("*", at).withColumn("_part", F.substring(raw, F.col("_at") + 1, F.lit(size + overlap)).cast("string"))
+    if spread:
+        rows = rows.drop(seq)
+        rows = rows.repartition(*[c for c in rows.columns if c != "_part"])
+    return rows
 
 
-def kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
+def kmers(df: DataFrame, seq: str, k: int, spread: bool = False) -> DataFrame:
     """A row for each k-mer of each row's sequence: the columns of df without seq, pos (1-based), kmer."""
-    parts = chunks(df, seq, k - 1)
+    parts = chunks(df, seq, k - 1, spread=spread)
     places = F.transform(F.sequence(F.lit(1), F.char_length("_part") - (k - 1)), lambda i: F.struct((F.col("_at") + i).alias("pos"), F.substring(F.col("_part"), i, F.lit(k)).alias("kmer")))
     keep = [c for c in df.columns if c != seq]
     return parts.select(*keep, F.inline(places))
 
 
-def kmer_counts(df: DataFrame, seq: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    return kmers(df, seq, k).groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
+def kmer_counts(df: DataFrame, seq: str, k: int, by: tuple[str, ...] = (), spread: bool = False) -> DataFrame:
+    return kmers(df, seq, k, spread).groupBy(*by, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def linguistic_complexity(df: DataFrame, seq: str, k: int, key: str) -> DataFrame:

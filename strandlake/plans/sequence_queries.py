@@ -51,7 +51,7 @@ rows(
 rows("protein_search", lambda d: d.select("doc_id", F.inline(sq.whole_frames(F.col("seq")))).where(F.contains("protein", F.lit("HN"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "SELECT doc_id, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, {PROTEIN.format(s='x', f=f)} AS protein FROM ({BOTH})" for f in (1, 2, 3)) + ") WHERE contains(protein, 'HN') GROUP BY doc_id")
 KMERS = "SELECT doc_id, i AS pos, substr(seq, i, {k}) AS kmer FROM (SELECT doc_id, seq, unnest(range(1, len(seq) - {k} + 2)) AS i FROM dna)"
 for name, k in (("letter_frequency", 1), ("dinucleotide_frequency", 2), ("trinucleotide_frequency", 3), ("kmer_frequency", 5)):
-    rows(name, lambda d, k=k: sq.kmer_counts(d, "seq", k), f"SELECT kmer, count(*) AS n FROM ({KMERS.format(k=k)}) GROUP BY kmer")
+    rows(name, lambda d, k=k: sq.kmer_counts(d, "seq", k, spread=True), f"SELECT kmer, count(*) AS n FROM ({KMERS.format(k=k)}) GROUP BY kmer")
 rows("oligonucleotide_share", lambda d: sq.kmer_counts(d, "seq", 4).crossJoin(F.broadcast(sq.kmers(d, "seq", 4).agg(F.count(F.lit(1)).alias("t")))).select("kmer", F.round(F.col("n") / F.col("t"), 9).alias("share")), f"SELECT kmer, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM ({KMERS.format(k=4)}) GROUP BY kmer")
 rows("sequence_complexity", lambda d: sq.linguistic_complexity(d, "seq", 3, "doc_id").select("doc_id", F.round("complexity", 9).alias("complexity")), f"SELECT doc_id, round(count(DISTINCT kmer) / least(64, count(*)), 9) AS complexity FROM ({KMERS.format(k=3)}) GROUP BY doc_id")
 rows("sequence_entropy", lambda d: sq.sequence_entropy(d, "seq", 1, "doc_id").select("doc_id", F.round("entropy", 6).alias("entropy")), f"SELECT doc_id, round(-sum(p * log2(p)), 6) + 0 AS entropy FROM (SELECT doc_id, kmer, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM ({KMERS.format(k=1)}) GROUP BY doc_id, kmer) GROUP BY doc_id")
