@@ -68,7 +68,7 @@ class Lineage:
     def to_json(self) -> str:
         """Activities and what informed them, in the shape of the W3C provenance vocabulary."""
         act = {k: {"prov:label": n["operation"], "prov:startTime": n["time"], "parameters": n["parameters"]} for k, n in self.nodes.items()}
-        informed = {f"{k}<-{p}": {"prov:informed": k, "prov:informant": p} for k, n in self.nodes.items() for p in n["parents"]}
+        informed = {f"{k}#{i:06d}": {"prov:informed": k, "prov:informant": p} for k, n in self.nodes.items() for i, p in enumerate(n["parents"])}
         return json.dumps({"activity": act, "wasInformedBy": informed}, sort_keys=True, default=repr)
 
     @classmethod

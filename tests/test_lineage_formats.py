@@ -26,7 +26,7 @@ def test_lineage(spark):
 def test_content_hash(spark):
     df = spark.createDataFrame([(1, "a", None), (2, None, {"k": 1}), (2, None, {"k": 1})], "a long, b string, c map<string,int>")
     same = df.repartition(3).orderBy(F.desc("a"))
-    assert lineage.content_hash(df) == lineage.content_hash(same) != lineage.content_hash(df.distinct())
+    assert lineage.content_hash(df) == lineage.content_hash(same) != lineage.content_hash(df.limit(2))
     assert lineage.content_hash(df.withColumnRenamed("a", "z")) != lineage.content_hash(df)
 
 
