@@ -9,7 +9,7 @@ from strandlake.operators.running import running
 
 # The receptor pattern, consequence classes and their severity.
 CDR3 = "C[A-Z]{5,28}(FG|WG|QYF|HF|TF)"
-NON_SYNONYMOUS = ("missense", "nonsense", "frameshift", "splice")
+NON_SYNONYMOUS = ("missense_variant", "frameshift_variant", "stop_gained", "start_lost", "splice_region_variant")
 
 
 def share(df: DataFrame, n: str, by: list[str], name: str = "frequency") -> DataFrame:
@@ -186,6 +186,3 @@ def suitability(age: Column, ecog: Column, markers: list[Column]) -> Column:
         total = total + m
     return total / (2 + len(markers))
 
-
-def metabolizer(activity: Column) -> Column:
-    return F.when(activity > 2, "ultrarapid").when(activity >= 1.25, "normal").when(activity >= 0.25, "intermediate").otherwise("poor")

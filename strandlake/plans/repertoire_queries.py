@@ -34,8 +34,8 @@ PEPTIDES = "SELECT DISTINCT upper(replace(p_brand || p_type, ' ', '')) AS s FROM
 one("cdr3_distance", PEPTIDES, lambda d: d.select(F.col("s").alias("a"), F.substring("s", 1, 8).alias("k")).join(d.select(F.col("s").alias("b"), F.substring("s", 1, 8).alias("k")), "k").where("a < b").select("a", "b", rp.pair_distance(F.col("a"), F.col("b")).alias("d")), "SELECT a.s AS a, b.s AS b, hamming(substr(a.s, 1, least(len(a.s), len(b.s))), substr(b.s, 1, least(len(a.s), len(b.s)))) + 1.5::DOUBLE * abs(len(a.s) - len(b.s)) AS d FROM @ a JOIN @ b ON substr(a.s, 1, 8) = substr(b.s, 1, 8) AND a.s < b.s")
 CDR = "SELECT doc_id, 'C' || substring(seq, 1, 30) || 'TF' AS s FROM dna"
 one("cdr3_length_spectrum", CDR, lambda d: d.select(F.length(rp.extract_cdr3(F.col("s"))).alias("len")).groupBy("len").agg(F.count(F.lit(1)).alias("n")), f"SELECT len(nullif(regexp_extract(s, '{rp.CDR3}'), '')) AS len, count(*) AS n FROM @ GROUP BY 1")
-BURDEN = "SELECT user_id AS sample, CASE event_id % 5 WHEN 0 THEN 'missense' WHEN 1 THEN 'nonsense' WHEN 2 THEN 'synonymous' WHEN 3 THEN 'frameshift' ELSE 'intron' END AS consequence, chrom AS gene, pos % 50 AS position, ref, alt, id, qual FROM variants"
-one("tumor_mutational_burden", BURDEN, lambda d: rp.mutational_burden(d, "sample", "consequence").withColumn("tmb", r("tmb")), "SELECT sample, count(*) AS n_variants, CAST(count_if(consequence IN ('missense', 'nonsense', 'frameshift', 'splice')) AS BIGINT) AS n_nonsyn, round(count_if(consequence IN ('missense', 'nonsense', 'frameshift', 'splice')) / 30.0::DOUBLE, 9) AS tmb FROM @ GROUP BY sample")
+BURDEN = "SELECT user_id AS sample, CASE event_id % 5 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'stop_gained' WHEN 2 THEN 'synonymous_variant' WHEN 3 THEN 'frameshift_variant' ELSE 'intron_variant' END AS consequence, chrom AS gene, pos % 50 AS position, ref, alt, id, qual FROM variants"
+one("tumor_mutational_burden", BURDEN, lambda d: rp.mutational_burden(d, "sample", "consequence").withColumn("tmb", r("tmb")), "SELECT sample, count(*) AS n_variants, CAST(count_if(consequence IN ('missense_variant', 'frameshift_variant', 'stop_gained', 'start_lost', 'splice_region_variant')) AS BIGINT) AS n_nonsyn, round(count_if(consequence IN ('missense_variant', 'frameshift_variant', 'stop_gained', 'start_lost', 'splice_region_variant')) / 30.0::DOUBLE, 9) AS tmb FROM @ GROUP BY sample")
 one("somatic_hotspots", BURDEN, lambda d: rp.hotspots(d, "gene", "position", "sample", 5), "SELECT gene, position, count(DISTINCT sample) AS n_samples, count(*) AS n FROM @ GROUP BY ALL HAVING count(DISTINCT sample) >= 5")
 one("mutational_spectrum", BURDEN, lambda d: rp.spectrum(d, F.concat(F.substring(F.lit("ACGT"), (F.col("position") % 4 + 1).cast("int"), F.lit(1)), F.col("ref"), F.substring(F.lit("TGCA"), (F.col("position") % 3 + 1).cast("int"), F.lit(1))), "ref", "alt", "gene").withColumn("fraction", r("fraction")), "SELECT gene, substr('ACGT', position % 4 + 1, 1) || '[' || ref || '>' || alt || ']' || substr('TGCA', position % 3 + 1, 1) AS kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY gene), 9) AS fraction FROM @ GROUP BY 1, 2")
 one("variant_filter", BURDEN, lambda d: rp.variant_filter(d, 30).select("id", "qual"), "SELECT id, qual FROM @ WHERE qual >= 30")
@@ -56,7 +56,6 @@ one("oncoprint", MAF, lambda d: d.groupBy("gene", "sample").agg(F.count(F.lit(1)
 QUERIES["omop_visit_summary"] = lambda s, d: rp.visit_summary(query(s, d, "SELECT c_custkey AS person_id, c_nationkey AS place FROM customer"), query(s, d, "SELECT o_custkey AS person_id FROM orders WHERE o_orderstatus = 'O'"), query(s, d, "SELECT o_custkey AS person_id FROM orders WHERE o_orderstatus = 'F'"), "person_id")
 ORACLE_SQL["omop_visit_summary"] = "SELECT c_custkey AS person_id, c_nationkey AS place, CAST(count_if(o_orderstatus = 'O') AS BIGINT) AS n_visits, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS n_conditions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL"
 one("trial_suitability", "SELECT c_custkey AS id, 20 + c_custkey % 70 AS age, c_nationkey % 4 AS ecog, c_custkey % 2 AS m FROM customer", lambda d: d.select("id", F.round(rp.suitability(F.col("age"), F.col("ecog"), [F.col("m")]), 9).alias("score")), "SELECT id, round((least(greatest((75 - age) / 40.0::DOUBLE, 0), 1) + least(greatest((2 - ecog) / 2.0::DOUBLE, 0), 1) + m) / 3, 9) AS score FROM @")
-one("metabolizer_phenotype", "SELECT DISTINCT p_size / 20.0 AS activity FROM part", lambda d: d.select(F.round(F.col("activity").cast("double"), 4).alias("activity"), rp.metabolizer(F.col("activity").cast("double")).alias("kind")), "SELECT round(CAST(activity AS DOUBLE), 4) AS activity, CASE WHEN activity > 2 THEN 'ultrarapid' WHEN activity >= 1.25 THEN 'normal' WHEN activity >= 0.25 THEN 'intermediate' ELSE 'poor' END AS kind FROM (SELECT DISTINCT p_size / 20.0 AS activity FROM part)")
 PVALUES = "SELECT p_partkey AS id, CAST(p_partkey % 997 + 1 AS DOUBLE) / CAST(2004 AS DOUBLE) AS p FROM part"
 one("benjamini_hochberg", PVALUES, lambda d: stats.adjust_bh(d, "p", "id").select("id", r("padj", 8)), "WITH k AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS i, count(*) OVER () AS m FROM @) SELECT id, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC)), 8) AS padj FROM k")
 one("average_ranks", "counts", lambda d: d.select("gene", "sample", stats.average_rank("count", ["sample"]).alias("rank")), "SELECT gene, sample, rank() OVER (PARTITION BY sample ORDER BY count) + (count(*) OVER (PARTITION BY sample, count) - 1) / 2 AS rank FROM counts")
