@@ -14,10 +14,12 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir; a local one only where that is unset and all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = "file://" + tempfile.mkdtemp(prefix="strandlake-")
     return shared_dir.own
