@@ -37,7 +37,7 @@ put("colocalisation", lambda s, d: asn.colocalisation(query(s, d, SUMMARY), quer
 EFFECTS = "SELECT p_partkey AS snp, (p_retailprice - 1450) / 1000 AS bx, (p_retailprice - 1450) / 1500 + CAST(p_size AS DOUBLE) / 200 AS by, CAST(0.05 AS DOUBLE) + CAST(p_size AS DOUBLE) / 600 AS se FROM part"
 put("mendelian_randomisation", lambda s, d: asn.mendelian_randomisation(query(s, d, EFFECTS)).select("n", *[r(c) for c in ("ivw", "ivw_se", "q", "egger", "intercept")]), f"WITH e AS (SELECT abs(bx) AS x, CASE WHEN bx < 0 THEN -b2 ELSE b2 END AS y, 1 / (se * se) AS w FROM ({EFFECTS.replace(' AS by', ' AS b2')})), s AS (SELECT count(*) AS n, sum(w) AS w, sum(w * x) AS wx, sum(w * y) AS wy, sum(w * x * x) AS wxx, sum(w * x * y) AS wxy, sum(w * y * y) AS wyy FROM e), t AS (SELECT *, (w * wxy - wx * wy) / (w * wxx - wx * wx) AS b FROM s) SELECT n, round(wxy / wxx, 6) AS ivw, round(sqrt(1 / wxx), 6) AS ivw_se, round(wyy - wxy * wxy / wxx, 6) AS q, round(b, 6) AS egger, round((wy - b * wx) / w, 6) AS intercept FROM t")
 put("ld_scores", lambda s, d: asn.ld_scores(query(s, d, ALL), 400).withColumn("ld_score", r("ld_score")), "WITH l AS (SELECT x.snp AS a, y.snp AS b, pow(corr(x.dosage, y.dosage), 2) AS r2 FROM genotypes x JOIN genotypes y ON x.sample = y.sample AND x.snp < y.snp AND y.snp - x.snp <= 400 WHERE x.dosage IS NOT NULL AND y.dosage IS NOT NULL GROUP BY 1, 2), u AS (SELECT a AS snp, r2 FROM l UNION ALL SELECT b, r2 FROM l) SELECT g.snp, round(1 + coalesce(sum(r2), 0), 6) AS ld_score FROM (SELECT DISTINCT snp FROM genotypes) g LEFT JOIN u ON u.snp = g.snp GROUP BY g.snp")
-SOME = "SELECT * FROM genotypes WHERE sample % 60 = 0"
+SOME = "SELECT * FROM genotypes"
 put("relationship_matrix", lambda s, d: asn.relationship(query(s, d, SOME)).withColumn("relationship", r("relationship")), f"WITH g AS ({SOME}), p AS (SELECT snp, avg(dosage) / 2 AS p FROM g WHERE dosage IS NOT NULL GROUP BY snp), z AS (SELECT g.snp, sample, dosage - 2 * p AS z FROM g JOIN p USING (snp) WHERE dosage IS NOT NULL), k AS (SELECT 2 * sum(p * (1 - p)) AS k FROM p) SELECT x.sample AS a, y.sample AS b, round(sum(x.z * y.z) / max(k), 6) + 0 AS relationship FROM z x JOIN z y ON x.snp = y.snp AND x.sample <= y.sample, k GROUP BY 1, 2")
 SETS = "SELECT p_partkey AS snp, p_partkey % 7 AS term FROM part"
 PHENOTYPE = "SELECT c_custkey AS sample, c_acctbal AS y FROM customer"

@@ -20,7 +20,7 @@ VIEWS = {
     "counts": "SELECT p_brand AS gene, n_name AS sample, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS count FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY p_brand, n_name",
     "clonotypes": "SELECT user_id AS clone, event_type AS sample, CAST(floor((extract(day FROM ts) - 1) / 7) AS BIGINT) AS timepoint, value FROM events",
     "survival": "SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 500 + 1 AS time, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS status, c_mktsegment AS grp FROM orders JOIN customer ON o_custkey = c_custkey",
-    "genotypes": "SELECT c_custkey AS sample, p_partkey AS snp, c_nationkey AS pop, CASE WHEN (c_custkey + p_partkey) % 17 = 0 THEN NULL ELSE (7 * c_custkey + 13 * p_partkey + c_custkey * p_partkey % 5) % 3 END AS dosage FROM customer CROSS JOIN part WHERE p_partkey % 40 = 1 AND c_custkey % 5 = 0",
+    "genotypes": "SELECT sample, snp, c_nationkey AS pop, CASE WHEN (sample + snp) % 17 = 0 THEN NULL ELSE (7 * sample + 13 * snp + sample * snp % 5) % 3 END AS dosage FROM (SELECT DISTINCT o_custkey AS sample, l_suppkey AS snp FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN customer ON sample = c_custkey",
     "genesets": "SELECT r_name AS term, n_name AS gene FROM nation JOIN region ON n_regionkey = r_regionkey",
     "atoms": "SELECT p_partkey % 3 AS structure, substring('ABCD', CAST(p_partkey % 4 + 1 AS INT), 1) AS chain, CAST(floor(p_partkey / 20) AS BIGINT) AS resseq, CASE CAST(floor(p_partkey / 4) AS BIGINT) % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'CA' WHEN 2 THEN 'C' WHEN 3 THEN 'O' ELSE 'SG' END AS atom, CASE p_size % 4 WHEN 0 THEN 'CYS' WHEN 1 THEN 'ALA' WHEN 2 THEN 'GLY' ELSE 'LYS' END AS residue, CAST(p_partkey * 7 % 101 AS DOUBLE) / 2 AS x, CAST(p_partkey * 13 % 97 AS DOUBLE) / 2 AS y, CAST(p_partkey * 29 % 89 AS DOUBLE) / 2 AS z, p_retailprice / 100 AS bfactor, p_partkey AS id FROM part",
     "spots": "SELECT c_custkey AS spot, c_custkey % 40 AS x, CAST(floor(c_custkey / 40) AS BIGINT) AS y, c_acctbal AS value, c_mktsegment AS label FROM customer",

@@ -1,10 +1,13 @@
 """Logistic models from counts against a fit row by row."""
 
+import os
+
 import numpy as np
 import pytest
 
 from strandlake.functions import stats
 from strandlake.operators import association as asn
+from strandlake.plans.views import view
 
 
 def test_logistic_from_counts():
@@ -27,3 +30,16 @@ def test_inverse_normal(spark):
     got = sorted((r.v, r.normal) for r in asn.inverse_normal(df, "v", ["g"]).collect())
     want = stats.norm_ppf((np.array([1, 2.5, 2.5, 4]) - 0.375) / 4.25)
     assert [g[1] for g in got] == pytest.approx(list(want))
+
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_genotypes_take_all_rows_in(spark):
+    lines, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "orders"))
+    pairs = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("o_custkey", "l_suppkey").distinct()
+    found = view(spark, SF, "genotypes")
+    assert found.count() == pairs.count() == found.select("sample", "snp").distinct().count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Join Inner\n" not in plan
