@@ -51,7 +51,7 @@ def classify(d):
 
 one("kmer_classify", "dna", classify, f"WITH b AS (SELECT kmer, min('t' || doc_id % 7) AS taxon FROM ({KMERS.format(k=6)}) WHERE doc_id % 50 = 0 GROUP BY kmer), q AS (SELECT doc_id, kmer FROM ({KMERS.format(k=6)}) WHERE pos <= 75), v AS (SELECT doc_id, taxon, count(*) AS n FROM q JOIN b USING (kmer) GROUP BY 1, 2), w AS (SELECT doc_id, taxon, n FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, taxon) = 1) SELECT q.doc_id, coalesce(taxon, 'unclassified') AS taxon, coalesce(n, 0) AS votes FROM (SELECT DISTINCT doc_id FROM q) q LEFT JOIN w USING (doc_id)")
 one("pathway_totals", "SELECT gene, count FROM counts", lambda d: ab.pathway_totals(d, d.select("gene", F.concat(F.lit("p"), F.substring("gene", 7, 1)).alias("pathway")).distinct(), "gene", "count"), "SELECT 'p' || substr(gene, 7, 1) AS pathway, CAST(sum(count) AS BIGINT) AS abundance FROM counts GROUP BY 1")
-one("strain_haplotypes", "SELECT user_id, pos % 40 AS pos, ref FROM variants WHERE user_id % 3 = 0", lambda d: ab.haplotypes(d, "user_id", "pos", "ref"), "SELECT user_id, string_agg(pos || ':' || ref, '|' ORDER BY pos, ref) AS haplotype FROM (SELECT DISTINCT user_id, pos, ref FROM @) GROUP BY user_id")
+one("strain_haplotypes", "SELECT user_id, pos % 40 AS pos, ref FROM variants", lambda d: ab.haplotypes(d, "user_id", "pos", "ref"), "SELECT user_id, string_agg(pos || ':' || ref, '|' ORDER BY pos, ref) AS haplotype FROM (SELECT DISTINCT user_id, pos, ref FROM @) GROUP BY user_id")
 LINEAGES = "SELECT r_name || ';' || n_name || '|' || r_name || ';' || substring(n_name, 1, 3) || '|' || r_name || ';X' AS votes, n_nationkey AS k, r_name AS want FROM nation JOIN region ON n_regionkey = r_regionkey"
 one("lowest_common_lineage", LINEAGES, lambda d: d.select("k", ab.lowest_common(F.col("votes")).alias("lineage")), "SELECT k, want AS lineage FROM @")
 one("protein_top3", "peptides", lambda d: ab.top_sum_ranked(d, ["protein", "sample"], "intensity").select("protein", "sample", r("top", 2)), "SELECT protein, sample, round(sum(intensity), 2) AS top FROM (SELECT protein, sample, intensity FROM peptides QUALIFY row_number() OVER (PARTITION BY protein, sample ORDER BY intensity DESC) <= 3) GROUP BY 1, 2")
@@ -75,7 +75,7 @@ SITES = "SELECT chrom, pos % 500 AS site, user_id % 5 AS m, event_id % 3 AS u FR
 one("methylation_levels", SITES, lambda d: ab.methylation_levels(d, ["chrom", "site"], "m", "u", 3).withColumn("level", r("level")), "SELECT chrom, site, CAST(sum(m) AS BIGINT) AS m, CAST(sum(u) AS BIGINT) AS u, round(sum(m) / (sum(m) + sum(u)), 8) AS level FROM @ GROUP BY 1, 2 HAVING sum(m) + sum(u) >= 3")
 one("read_n50", "SELECT lang, length(text) AS len FROM documents", lambda d: ab.n50(d, "len", ["lang"]), "WITH c AS (SELECT lang, len, sum(len) OVER (PARTITION BY lang ORDER BY len DESC RANGE UNBOUNDED PRECEDING) AS c, sum(len) OVER (PARTITION BY lang) AS t FROM @) SELECT lang, max(len) AS n50 FROM c WHERE c * 2 >= t GROUP BY lang")
 one("read_contacts", "SELECT l_orderkey AS read, l_suppkey % 30 AS place FROM lineitem", lambda d: ab.contacts(d, "read", "place"), "WITH x AS (SELECT DISTINCT read, place FROM @) SELECT a.place AS a, b.place AS b, count(*) AS n FROM x a JOIN x b ON a.read = b.read AND a.place < b.place GROUP BY 1, 2")
-one("minimizer_index", "dna", lambda d: ab.minimizers(sq.kmers(d.where("doc_id % 10 = 0"), "seq", 7), "doc_id", 5), None)
-CALLS = "SELECT event_id, chrom, pos FROM variants WHERE event_id % 5 = 0"
+one("minimizer_index", "dna", lambda d: ab.minimizers(sq.kmers(d, "seq", 7), "doc_id", 5), None)
+CALLS = "SELECT event_id, chrom, pos FROM variants"
 QUERIES["nearest_gene"] = lambda s, d: ab.nearest_gene(query(s, d, CALLS), query(s, d, "SELECT * FROM genes"), "event_id").select("event_id", "distance")
 ORACLE_SQL["nearest_gene"] = duck(f"SELECT c.event_id, coalesce(min(greatest(0, g.start + 1 - c.pos, c.pos - g.stop)), -1) AS distance FROM ({CALLS}) c LEFT JOIN genes g ON g.chrom = c.chrom GROUP BY c.event_id")

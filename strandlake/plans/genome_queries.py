@@ -56,7 +56,7 @@ SCREEN = "SELECT p_partkey AS guide, p_brand AS gene, CAST(sum(CASE WHEN l_retur
 one("crispr_screen", SCREEN, lambda d: gn.screen_fold_change(d, "guide", "gene", "t", "c").select("gene", "n_guides", r("mean_lfc", 6), r("median_lfc", 6)), "WITH x AS (SELECT gene, log2(((t + 1) / sum(t) OVER ()) / ((c + 1) / sum(c) OVER ())) AS f FROM @) SELECT gene, count(*) AS n_guides, round(avg(f), 6) AS mean_lfc, round(median(f), 6) AS median_lfc FROM x GROUP BY gene")
 CIGARS = "SELECT event_id, event_id * 10 AS pos, CAST(user_id % 50 + 1 AS STRING) || 'M' || CAST(event_id % 70 + 1 AS STRING) || 'D' || CAST(user_id % 20 + 5 AS STRING) || 'M' || CAST(event_id % 45 + 1 AS STRING) || 'I10M' AS cigar, event_id % 70 + 1 AS d, event_id % 45 + 1 AS i, user_id % 50 + 1 AS a, user_id % 20 + 5 AS b FROM events"
 one("split_read_events", CIGARS, lambda d: gn.cigar_events(d, "event_id", "pos", "cigar").withColumn("size", F.col("size").cast("long")), "SELECT event_id, 'DEL' AS kind, pos + a AS start, d AS size FROM @ WHERE d >= 30 UNION ALL SELECT event_id, 'INS', pos + a + d + b, i FROM @ WHERE i >= 30")
-EVIDENCE = "SELECT chrom, pos, user_id AS read FROM variants WHERE event_id % 3 = 0"
+EVIDENCE = "SELECT chrom, pos, user_id AS read FROM variants"
 one("cluster_variants", EVIDENCE, lambda d: gn.cluster_events(d, ["chrom"], "pos", "read", 40, 3), "WITH x AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos, read) <= 40 THEN 0 ELSE 1 END AS new FROM @), y AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY pos, read ROWS UNBOUNDED PRECEDING) AS k FROM x) SELECT chrom, count(DISTINCT read) AS support, min(pos) AS first, max(pos) AS last FROM y GROUP BY chrom, k HAVING count(DISTINCT read) >= 3")
 
 
@@ -68,7 +68,7 @@ def regions(d):
 
 one("candidate_regions", "dna", regions, f"WITH i AS (SELECT 'd' || doc_id AS chrom, pos, kmer FROM ({KMERS.format(k=12)}) WHERE doc_id % 20 = 0 QUALIFY count(*) OVER (PARTITION BY kmer) <= 5) SELECT q.doc_id, chrom, i.pos - q.pos AS start, count(*) AS support FROM ({KMERS.format(k=12)}) q JOIN i USING (kmer) WHERE q.doc_id % 20 = 1 GROUP BY ALL HAVING count(*) >= 3")
 FRAGMENTS = "SELECT DISTINCT 'f' || chrom || '-' || CAST(lo AS STRING) || '-' || CAST(hi AS STRING) || strand AS id, chrom, lo, hi FROM ranges"
-PEAKS = "SELECT DISTINCT chrom, start + 1 AS lo, stop AS hi, gene_id AS peak FROM genes WHERE gene_id % 3 = 0"
+PEAKS = "SELECT DISTINCT chrom, start + 1 AS lo, stop AS hi, gene_id AS peak FROM genes"
 QUERIES["best_peak"] = lambda s, d: sg.best_peak(query(s, d, FRAGMENTS), query(s, d, PEAKS), "id")
 ORACLE_SQL["best_peak"] = duck(f"SELECT f.id, p.peak, least(f.hi, p.hi) - greatest(f.lo, p.lo) + 1 AS bases FROM ({FRAGMENTS}) f JOIN ({PEAKS}) p ON f.chrom = p.chrom AND f.lo <= p.hi AND p.lo <= f.hi QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY least(f.hi, p.hi) - greatest(f.lo, p.lo) DESC, p.lo, p.peak) = 1")
 SAMPLED = "SELECT chrom, lo, hi, lo % 4 AS sample FROM ranges"

@@ -20,8 +20,8 @@ def one(name, source, operator, sql):
         ORACLE_SQL[name] = duck(sql.replace("@", f"({source})"))
 
 
-one("hmm_log_likelihood", DNA, lambda d: md.log_likelihood(d.where("doc_id % 10 = 0"), "doc_id", "seq", MODEL), None)
-one("hmm_posterior_segments", DNA, lambda d: md.segments(md.posterior_path(d.where("doc_id % 10 = 0"), "doc_id", "seq", MODEL), "doc_id", "path"), None)
+one("hmm_log_likelihood", DNA, lambda d: md.log_likelihood(d, "doc_id", "seq", MODEL), None)
+one("hmm_posterior_segments", DNA, lambda d: md.segments(md.posterior_path(d, "doc_id", "seq", MODEL), "doc_id", "path"), None)
 one("state_segments", "SELECT doc_id, translate(substring(seq, 1, 400), 'ACGT', '0110') AS path FROM dna WHERE length(seq) > 0", lambda d: md.segments(d, "doc_id", "path"), "WITH x AS (SELECT doc_id, i, substr(path, i, 1) AS c FROM (SELECT doc_id, path, unnest(range(1, len(path) + 1)) AS i FROM @)), y AS (SELECT *, CASE WHEN lag(c) OVER w = c THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)), z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM y) SELECT doc_id, c AS state, CAST(min(i) AS INT) AS start, CAST(max(i) AS INT) AS stop FROM z GROUP BY doc_id, k, c")
 RANKED, SETS = "SELECT p_partkey AS gene, p_retailprice - 1400 AS score FROM part", "SELECT p_brand AS term, p_partkey AS gene FROM part"
 QUERIES["ranked_enrichment"] = lambda s, d: md.ranked_enrichment(query(s, d, RANKED), query(s, d, SETS)).withColumn("es", F.round("es", 7))
