@@ -59,7 +59,7 @@ one("peptide_cv", "peptides", lambda d: ab.coefficient_of_variation(d, ["protein
 one("median_deviation", "peptides", lambda d: ab.median_deviation(d, ["protein"], "intensity").select("protein", r("median", 3), r("mad", 3)), "SELECT protein, round(median(intensity), 3) AS median, round(mad(intensity), 3) AS mad FROM peptides GROUP BY protein")
 QUERIES["adduct_match"] = lambda s, d: ab.band_join(query(s, d, "SELECT DISTINCT p_partkey, p_retailprice AS x FROM part"), query(s, d, "SELECT DISTINCT s_suppkey, 900 + CAST(s_suppkey AS DOUBLE) * 9 AS y FROM supplier"), "x", "y", 200)
 ORACLE_SQL["adduct_match"] = "SELECT p_partkey, p_retailprice AS x, s_suppkey, 900 + CAST(s_suppkey AS DOUBLE) * 9 AS y FROM part JOIN supplier ON abs(p_retailprice - (900 + CAST(s_suppkey AS DOUBLE) * 9)) <= (900 + CAST(s_suppkey AS DOUBLE) * 9) * 200 / 1e6"
-PROTEIN = "SELECT doc_id, substring(seq, 1, 300) AS p FROM (SELECT doc_id, translate(seq, 'ACGT', 'NSTP') AS seq FROM dna)"
+PROTEIN = "SELECT doc_id, seq AS p FROM (SELECT doc_id, translate(seq, 'ACGT', 'NSTP') AS seq FROM dna)"
 one("sequon_sites", PROTEIN, lambda d: d.where("length(p) > 2").select("doc_id", F.size(ab.sequon_sites(F.col("p"))).cast("long").alias("n")), "SELECT doc_id, CAST(count_if(regexp_full_match(substr(p, i, 3), 'N[^P][ST]')) AS BIGINT) AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) - 1)) AS i FROM @ WHERE len(p) > 2) GROUP BY doc_id")
 CELLS = "SELECT l_orderkey AS cell, p_brand AS gene, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_brand"
 one("cell_metrics", CELLS, lambda d: ab.cell_metrics(d, "cell", "gene", "n", F.col("gene").endswith("1")).select("cell", "total", "features", r("mito_share")), "SELECT cell, CAST(sum(n) AS BIGINT) AS total, count(*) AS features, round(sum(CASE WHEN ends_with(gene, '1') THEN n ELSE 0 END) / sum(n), 8) AS mito_share FROM @ GROUP BY cell")

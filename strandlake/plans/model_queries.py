@@ -22,7 +22,7 @@ def one(name, source, operator, sql):
 
 one("hmm_log_likelihood", DNA, lambda d: md.log_likelihood(d, "doc_id", "seq", MODEL), None)
 one("hmm_posterior_segments", DNA, lambda d: md.segments(md.posterior_path(d, "doc_id", "seq", MODEL), "doc_id", "path"), None)
-one("state_segments", "SELECT doc_id, translate(substring(seq, 1, 400), 'ACGT', '0110') AS path FROM dna WHERE length(seq) > 0", lambda d: md.segments(d, "doc_id", "path"), "WITH x AS (SELECT doc_id, i, substr(path, i, 1) AS c FROM (SELECT doc_id, path, unnest(range(1, len(path) + 1)) AS i FROM @)), y AS (SELECT *, CASE WHEN lag(c) OVER w = c THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)), z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM y) SELECT doc_id, c AS state, CAST(min(i) AS INT) AS start, CAST(max(i) AS INT) AS stop FROM z GROUP BY doc_id, k, c")
+one("state_segments", "SELECT doc_id, translate(seq, 'ACGT', '0110') AS path FROM dna WHERE length(seq) > 0", lambda d: md.segments(d, "doc_id", "path"), "WITH x AS (SELECT doc_id, i, substr(path, i, 1) AS c FROM (SELECT doc_id, path, unnest(range(1, len(path) + 1)) AS i FROM @)), y AS (SELECT *, CASE WHEN lag(c) OVER w = c THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)), z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM y) SELECT doc_id, c AS state, CAST(min(i) AS INT) AS start, CAST(max(i) AS INT) AS stop FROM z GROUP BY doc_id, k, c")
 RANKED, SETS = "SELECT p_partkey AS gene, p_retailprice - 1400 AS score FROM part", "SELECT p_brand AS term, p_partkey AS gene FROM part"
 QUERIES["ranked_enrichment"] = lambda s, d: md.ranked_enrichment(query(s, d, RANKED), query(s, d, SETS)).withColumn("es", F.round("es", 7))
 ORACLE_SQL["ranked_enrichment"] = f"WITH r AS (SELECT gene, score, row_number() OVER (ORDER BY score DESC, gene) AS p, count(*) OVER () AS n FROM ({RANKED})), t AS (SELECT term, r.gene, p, n, abs(score) AS w FROM r JOIN ({SETS}) s ON s.gene = r.gene), g AS (SELECT term, sum(w) AS t, count(*) AS size FROM t GROUP BY term), x AS (SELECT g.term, size, p, sum(CASE WHEN t.gene IS NOT NULL THEN t.w / g.t ELSE 0 END) OVER (PARTITION BY g.term ORDER BY r.p) - sum(CASE WHEN t.gene IS NULL THEN 1 / (r.n - size) ELSE 0 END) OVER (PARTITION BY g.term ORDER BY r.p) AS v FROM g CROSS JOIN (SELECT gene, p, n FROM r) r LEFT JOIN (SELECT term, gene, w FROM t) t ON t.term = g.term AND t.gene = r.gene) SELECT term, size, round(CASE WHEN max(v) >= -min(v) THEN max(v) ELSE min(v) END, 7) AS es FROM x GROUP BY term, size"
