@@ -265,7 +265,7 @@ def test_html(spark):
     assert out[1] == [("T & t\none two three\nfour five", 29)]
     assert out[2] == [("", 0)] and out[3] == [("", 0)] * 2 and out[4][0][0] == "plain text with a < sign"
     assert out[10][0][0].startswith("0 says its own w0") and "template" not in out[10][0][0]
-    assert extract(df, group_chars=50).count() == len(rows) and extract(df.where("false")).count() == 0
+    assert extract(df).count() == len(rows) and extract(df.where("false")).count() == 0
 
 
 def test_classifier(spark):
