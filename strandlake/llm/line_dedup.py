@@ -4,30 +4,35 @@ Lines link if their edit distance is at most THRESHOLD characters. A line is spl
 linked lines, one has a segment that the other contains unchanged, near the same place. So each line is filed under its
 own segments and looks up those substrings of itself that could be a segment of a line as long, or up to THRESHOLD
 shorter; which substrings these are follows from the position of the segment and the difference in length. Lines that
-meet under a key are verified by a banded bit-parallel edit distance, many pairs at once.
+meet under a key are verified by a banded bit-parallel edit distance, many pairs at once. Lines of at most THRESHOLD
+characters have no segments: they meet each other, and longer lines by common subsequences (see short_keys).
 
 Texts don't travel with the keys: a key row has hashes only, tasks send each line's keys once, and texts are fetched for
-lines that met another under a key. A large meeting is dealt into tiles, whose pairs go to different tasks; a task
-returns a spanning forest of the links it finds, not all pairs. Exact copies of lines are told by 96 bits of hashes.
+lines that met another under a key. If many lines meet under one key, what is left of them without the shared segment is
+again within the threshold, so they are split into segments a second and third time and meet only under two or three
+shared segments. What is still a large meeting is dealt into tiles, whose pairs go to different tasks; a task returns a
+spanning forest of the links it finds, not all pairs. Lines are told apart by 128 bits of hashes, and under a key by 64.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Scratch, python_ready, table, whole_text
 from strandlake.llm.simhash import Forest, components
 
 THRESHOLD = 2
-#: Lines of fewer characters link only to exact copies: a few edits make them other lines.
-MIN_CHARS = 16
 #: The most lines of a tile, about.
 TILE = 256
+#: Meetings of more lines than this are split by further segments, at most so many times.
+LARGE, SPLITS = 512, 3
 #: Bits of the filter through which lines pass before those that are wanted are joined: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
 #: A task remembers so many lines whose keys it has sent.
@@ -41,11 +46,12 @@ INVERSE = pow(BASE, -1, 1 << 64)
 def lookups(n: int, threshold: int) -> np.ndarray:
     """Rows (length of the filed line, segment, start in this line, segment's length, filed) for a line of n characters.
 
-    filed marks a line's own segments; they are also lookups in lines as long.
+    filed marks a line's own segments; they are also lookups in lines as long. Lines of more than threshold characters
+    only, on both sides.
     """
     out = []
     parts = threshold + 1
-    for gap in range(threshold + 1):
+    for gap in range(min(threshold, n - parts) + 1):
         m = n - gap
         for i in range(parts):
             # Segments as even as possible, the longer ones last.
@@ -58,13 +64,36 @@ def lookups(n: int, threshold: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 5)
 
 
+@lru_cache(maxsize=1 << 16)
+def short_keys(line: str, threshold: int) -> tuple[tuple[int, bool], ...]:
+    """(key, filed) by which a line meets lines of at most threshold characters; none for lines twice as long and more.
+
+    Any two lines of at most threshold characters are within it. A longer line of n characters within the threshold of a
+    short one keeps n - threshold characters of it, in order: both know that subsequence.
+    """
+
+    def key(*what) -> int:
+        return xxhash.xxh64_intdigest(repr(what).encode("utf-8", "surrogatepass")) | 1
+
+    n = len(line)
+    if n > 2 * threshold:
+        return ()
+    if n > threshold:
+        return tuple((key(n, x), False) for x in sorted(set(combinations(line, n - threshold))))
+    longer = range(threshold + 1, 2 * threshold + 1)
+    return ((key(0), True), *((key(m, x), True) for m in longer for x in sorted(set(combinations(line, m - threshold)))))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)])
 
 
-def keys_of(lines: list[str], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line number, key, filed) of all lookups of the lines. Hashes of substrings come from running sums of each line."""
+def keys_of(lines: list[str], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line number, key, filed, start, size) of all lookups of the lines. Hashes of substrings come from running sums of each line.
+
+    Keys of segments are even. Those of short_keys are odd, and have no start and size.
+    """
     sizes = np.array([len(x) for x in lines], np.int64)
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     ends = np.cumsum(sizes)
@@ -80,9 +109,21 @@ def keys_of(lines: list[str], threshold: int) -> tuple[np.ndarray, np.ndarray, n
         h = (sums[at + rows[:, 3]] - sums[at]) * down[rows[:, 2]]
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h + rows[:, 0].astype(np.uint64) * np.uint64(0x94D049BB133111EB) + rows[:, 1].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-    return who, h.view(np.int64), rows[:, 4].astype(bool)
-
+        h = (h ^ (h >> np.uint64(32))) & ~np.uint64(1)
+    found = [who, h, rows[:, 4].astype(bool), rows[:, 2], rows[:, 3]]
+    more = [(k, key, filed) for k in np.flatnonzero(sizes <= 2 * threshold).tolist() for key, filed in short_keys(lines[k], threshold)]
+    if more:
+        none = np.zeros(len(more), np.int64)
+        extra = [np.array([x[0] for x in more], np.int64), np.array([x[1] for x in more], np.uint64), np.array([x[2] for x in more], bool), none, none]
+        found = [np.concatenate(x) for x in zip(found, extra, strict=True)]
+    return found[0], found[1].view(np.int64), *found[2:]
+
+
+def under(parent: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Keys of what is left of lines that met under the parent key; whether a key is even stays as it is. No parent is 0."""
+    with np.errstate(over="ignore"):
+        mixed = parent.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return ((mixed ^ (mixed >> np.uint64(31))) & ~np.uint64(1)).view(np.int64) ^ key
 
 
 def within(a: list[str], b: list[str], threshold: int) -> np.ndarray:
@@ -136,6 +177,8 @@ def within(a: list[str], b: list[str], threshold: int) -> np.ndarray:
 def verified(lines: list[str], i: np.ndarray, j: np.ndarray, threshold: int, cells: int = 1 << 21) -> np.ndarray:
     """Which pairs of lines are within the threshold; pairs of like length are compared together, of bounded total size."""
     out = np.zeros(len(i), bool)
+    # A common beginning changes no distance, and makes the shortest lines longer than the threshold.
+    lines = [" " * (threshold + 1) + x for x in lines] if min(map(len, lines), default=0) <= threshold else lines
     sizes = np.array([len(x) for x in lines], np.int64)
     order = np.argsort(np.maximum(sizes[i], sizes[j]), kind="stable")
     at = 0
@@ -151,7 +194,41 @@ def _lines(docs: DataFrame, text: str, *more: str) -> DataFrame:
     return docs.select(*more, F.posexplode(F.split(whole_text(text), "\n")).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
 
 
-def _meetings(lines: DataFrame, threshold: int, min_chars: int, scratch: Scratch) -> DataFrame:
+def _met(keyed: DataFrame) -> DataFrame:
+    """Of rows (key, parent, h, filed), those of the keys that one h is filed under and that another h has, too.
+
+    Rows come sorted by key, those filed first. So what a key's first row says, and whether an h other than its first
+    one has come, is all that is held between batches, however many rows a key has.
+    """
+    names = ["key", "parent", "h", "filed"]
+
+    def run(batches):
+        held = [np.empty(0, np.int64)] * 3 + [np.empty(0, bool)]  # rows of the last key seen that have met no other h so far
+        good_key: int | None = None  # the last key seen, if its lines have met
+        for b in batches:
+            cols = [np.concatenate([x, b.column(k).to_numpy(zero_copy_only=False)]) for k, x in zip(names, held, strict=True)]
+            if not len(cols[0]):
+                continue
+            key, _, h, filed = cols
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            low, high = np.minimum.reduceat(h, first), np.maximum.reduceat(h, first)
+            good = (low != high) & filed[first]
+            if good_key is not None:
+                good[0] |= key[0] == good_key
+            open_ = not good[-1] and low[-1] == high[-1] and bool(filed[first[-1]])
+            keep = np.repeat(good, size)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
+            good_key = int(key[-1]) if good[-1] else None
+            # One filed and one other row of that h are enough; a key without a filed row never becomes good.
+            last = slice(int(first[-1]), None)
+            _, pick = np.unique(filed[last], return_index=True)
+            held = [c[last][np.sort(pick)] for c in cols] if open_ else [c[:0] for c in cols]
+
+    return keyed.repartition("key").sortWithinPartitions(F.col("key"), F.col("filed").desc()).mapInArrow(run, "key long, parent long, h long, filed boolean")
+
+
+def _meetings(lines: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """(key, h, filed) of the lines that meet another one under a key that one of them is filed under."""
 
     def emit(batches):
@@ -166,44 +243,36 @@ def _meetings(lines: DataFrame, threshold: int, min_chars: int, scratch: Scratch
                 seen.clear()
             part = b.take(pa.array(new, pa.int64()))
             h = part.column("h").to_numpy()
-            who, key, filed = keys_of(part.column("line").to_pylist(), threshold)
+            who, key, filed, _, _ = keys_of(part.column("line").to_pylist(), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[who]), pa.array(filed)], ["key", "h", "filed"])
 
-    def meet(batches):
-        """Rows come sorted by key; those of the last key seen wait for the next batch."""
+    keyed = lines.mapInArrow(emit, "key long, h long, filed boolean").select("key", F.lit(0).cast("long").alias("parent"), "h", "filed")
+    return scratch.save(_met(keyed).select("key", "h", "filed").distinct(), "meetings")
 
-        def settle(key, h, filed):
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            group = np.cumsum(first) - 1
-            n = group[-1] + 1
-            low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-            np.minimum.at(low, group, h)
-            np.maximum.at(high, group, h)
-            good = (low != high) & (np.bincount(group, filed, n) > 0)
-            return good[group]
 
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+def _split(rows: DataFrame, threshold: int, scratch: Scratch, level: int) -> DataFrame:
+    """Rows (key, parent, node, filed, rest) of large meetings, met again under the segments of what is left of each rest."""
 
-        def batch(cols, keep):
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["key", "h", "filed"])
+    def strip(batches):
+        """Rests without the segment that their key stands for; the same key may stand for several places."""
+        for b in batches:
+            rests = b.column("rest").to_pylist()
+            key, parent, node = (b.column(k).to_numpy() for k in ("key", "parent", "node"))
+            who, found, _, at, size = keys_of(rests, threshold)
+            hit = np.flatnonzero(under(parent[who], found) == key[who])
+            left = [rests[w][:a] + rests[w][a + n :] for w, a, n in zip(who[hit].tolist(), at[hit].tolist(), size[hit].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[who[hit]]), pa.array(node[who[hit]]), pa.array(left, pa.string())], ["parent", "node", "rest"])
 
+    def emit(batches):
         for b in batches:
-            cols = [np.concatenate([x, b.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(held)]
-            if not len(cols[0]):
-                continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # keys ascend
-            if last:
-                done = [c[:last] for c in cols]
-                yield batch(done, settle(*done))
-            # Of the key that goes on, one row for each line and kind is enough.
-            rest = np.unique(np.stack([cols[1][last:], cols[2][last:].astype(np.int64)]), axis=1)
-            held = [np.full(rest.shape[1], cols[0][-1]), rest[0], rest[1].astype(bool)]
-        if len(held[0]):
-            yield batch(held, settle(*held))
+            parent, node = b.column("parent").to_numpy(), b.column("node").to_numpy()
+            who, key, filed, _, _ = keys_of(b.column("rest").to_pylist(), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(under(parent[who], key)), pa.array(parent[who]), pa.array(node[who]), pa.array(filed)], ["key", "parent", "h", "filed"])
 
-    keyed = lines.where(F.char_length("line") >= min_chars).mapInArrow(emit, "key long, h long, filed boolean")
-    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, h long, filed boolean")
-    return scratch.save(met.distinct(), "meetings")
+    cut = scratch.save(rows.mapInArrow(strip, "parent long, node long, rest string").distinct(), f"cut_{level}")
+    met = _met(cut.mapInArrow(emit, "key long, parent long, h long, filed boolean")).withColumnRenamed("h", "node").distinct()
+    # A node with several rests under one parent gets all of them under the key: more candidates, never fewer.
+    return met.join(cut, ["parent", "node"]).select("key", "parent", "node", "filed", "rest").distinct()
 
 
 def _perhaps(lines: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -277,33 +346,56 @@ def _links(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
-def line_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, tile: int = TILE) -> DataFrame:
+def _second_hash(line: str | Column) -> Column:
+    return F.xxhash64(F.lit("second"), line)
+
+
+def _candidates(met: DataFrame, named: DataFrame, threshold: int, tile: int, large: int, scratch: Scratch) -> DataFrame:
+    """Rows (key, s, t, tile, filed, node, line) of the meetings, large ones split by segments, or else into pairs of tiles."""
+    found = None
+    rows = scratch.save(met.join(named, "h").select("key", F.lit(0).cast("long").alias("parent"), "node", "filed", F.col("line").alias("rest")), "level_0")
+    for level in range(1, SPLITS + 2):
+        sizes = scratch.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > large), f"sizes_{level}")
+        split = sizes.where("key % 2 = 0") if level <= SPLITS else sizes.where("false")
+        split = scratch.save(split.select("key"), f"split_{level}")
+        again = split.limit(1).count() > 0
+        here = rows.join(split, "key", "left_anti") if again else rows
+        tiles = sizes.select("key", F.ceil(F.col("m") / F.lit(tile)).cast("int").alias("tiles"))
+        placed = here.join(tiles, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        dealt = placed.withColumn("other", other).select("key", F.least("tile", "other").alias("s"), F.greatest("tile", "other").alias("t"), "tile", "filed", "node", "rest")
+        dealt = dealt.withColumnRenamed("rest", "line") if level == 1 else dealt.drop("rest").distinct().join(named.select("node", "line"), "node")
+        dealt = dealt.select("key", "s", "t", "tile", "filed", "node", "line")
+        found = dealt if found is None else found.union(dealt)
+        if not again:
+            return found
+        rows = scratch.save(_split(rows.join(split, "key"), threshold, scratch, level), f"level_{level}")
+    return found
+
+
+def line_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, tile: int = TILE, large: int = LARGE, row_col: str | None = None) -> DataFrame:
     """Per row of docs: row, the id column, n_lines, dropped, copied_from.
 
     Lines are what \\n separates; those of spaces alone don't count and are never dropped. Of each class of linked lines
     the one that comes first, by id and then by place, stays. dropped has the places (from 0) of a document's other
     lines, copied_from the ids of the documents where their classes come first. Null text is one empty line. Null ids
-    come after all others; repeated rows are documents of their own.
+    come after all others; repeated rows are documents of their own. row is row_col, a number of each row, or one given here.
     """
     spark = docs.sparkSession
     python_ready(spark)
     scratch = Scratch(spark, "line_dedup")
-    lines = _lines(docs, text).select("line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
-    met = _meetings(lines, threshold, min_chars, scratch)
+    lines = _lines(docs, text).select("line", F.xxhash64("line").alias("h"), _second_hash("line").alias("g"))
+    met = _meetings(lines, threshold, scratch)
     wanted = scratch.save(met.select("h").distinct(), "wanted")
     # An inner join with distinct hashes: a semi join would be pushed below the filter.
-    texts = _perhaps(lines.where(F.char_length("line") >= min_chars), wanted).join(wanted, "h").select("line", "h", "g").distinct()
+    texts = _perhaps(lines, wanted).join(wanted, "h").select("line", "h", "g").distinct()
     named = scratch.save(texts.sortWithinPartitions("h", "g", "line").withColumn("node", F.monotonically_increasing_id()), "named")
-    sizes = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles")).where("tiles > 1")
-    placed = met.join(sizes, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = placed.withColumn("other", other).select("key", F.least("tile", "other").alias("s"), F.greatest("tile", "other").alias("t"), "tile", "filed", "h")
-    rows = dealt.join(named.select("h", "node", "line"), "h").repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "node").select("key", "s", "t", "tile", "filed", "node", "line")
+    rows = _candidates(met, named, threshold, tile, large, scratch).repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "node")
     roots = components(_links(rows, threshold), scratch)
     ties = scratch.save(named.join(roots, named["node"] == roots["u"], "left").select("h", "g", F.coalesce("root", "node").alias("root")).dropDuplicates(["h", "g"]), "ties")
     real = F.length(F.trim("line")) > 0
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), whole_text(text).alias("_t")).select("_row", "_id", F.posexplode(F.split("_t", "\n")).alias("pos", "line"))
-    places = scratch.save(numbered.select("_row", "_id", "pos", real.alias("real"), F.xxhash64("line").alias("h"), F.hash("line").alias("g")), "places")
+    numbered = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"), F.col(id_col).alias("_id"), whole_text(text).alias("_t")).select("_row", "_id", F.posexplode(F.split("_t", "\n")).alias("pos", "line"))
+    places = scratch.save(numbered.select("_row", "_id", "pos", real.alias("real"), F.xxhash64("line").alias("h"), _second_hash("line").alias("g")), "places")
     alone = F.col("root").isNull()
     classed = places.join(ties, ["h", "g"], "left").select("_row", "_id", "pos", "real", F.coalesce("root", F.lit(-1)).alias("root"), F.when(alone, F.col("h")).otherwise(0).alias("h"), F.when(alone, F.col("g")).otherwise(0).alias("g"))
     classed = scratch.save(classed, "classed")
@@ -319,12 +411,15 @@ def line_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", th
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """The id column and the text without the lines that line_classes drops, for each document; ids are distinct."""
-    found = line_classes(docs, text, id_col, **how)
-    lines = F.split(whole_text(text), "\n")
-    rows = docs.select(id_col, text).join(found.select(id_col, "dropped"), id_col)
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("dropped"), s["i"]))
-    return rows.select(id_col, F.array_join(F.transform(kept, lambda s: s["x"]), "\n").alias(text))
+    """The rows of docs, all their columns, with the text less the lines that line_classes drops. Ids may be null or repeat; a null text becomes empty."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own_text, own_id = names[docs.columns.index(text)], names[docs.columns.index(id_col)]
+    # Written first, so that a row keeps its number.
+    rows = Scratch(docs.sparkSession, "line_dedup").save(docs.toDF(*names).withColumn("_at", F.monotonically_increasing_id()), "rows")
+    found = line_classes(rows, own_text, own_id, row_col="_at", **how).select(F.col("row").alias("_at"), "dropped")
+    kept = F.filter(F.transform(F.split(whole_text(own_text), "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("dropped"), s["i"]))
+    left = rows.join(found, "_at").withColumn("_left", F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    return left.select(*[F.col("_left" if n == own_text else n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -175,6 +175,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = scratch.save(small, f"{name}_{k}")
+        scratch.drop(f"{name}_{k - 1}")
+        scratch.drop(f"{name}_{k}_large")
 
 
 def groups(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
