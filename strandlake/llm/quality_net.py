@@ -3,7 +3,8 @@
 A text's bytes are cut into overlapping chunks that cover all of it. In a chunk each byte becomes a learned vector;
 learned filters, as wide as WIDTH bytes, slide over them; each filter's largest response in the chunk is kept. A second
 layer turns the kept responses of a chunk into features, the largest of each feature over all chunks is kept, and a
-last layer gives one probability. Filters are applied as products with views of the byte vectors: starting at bytes
+last layer gives one probability. Training sees all chunks of its texts as well; only those that hold a feature's largest
+value have a gradient. Filters are applied as products with views of the byte vectors: starting at bytes
 0, STEP, 2 * STEP ... below WIDTH, rows of WIDTH bytes lie one behind the other, so nothing is copied.
 """
 
@@ -20,8 +21,8 @@ from strandlake.llm.common import python_ready, table, whole_text
 
 CHUNK, OVERLAP = 256, 32
 DIM, WIDTH, STEP, FILTERS, FEATURES = 4, 8, 2, 24, 16
-#: The most labelled rows that training uses of each class, and the most chunks of each, spread over the whole text.
-TRAIN_ROWS, TRAIN_CHUNKS = 1200, 8
+#: The most labelled rows that training uses of each class, and the most bytes of all their texts. Rows are left out whole.
+TRAIN_ROWS, TRAIN_BYTES = 1200, 64 << 20
 
 
 def chunk_starts(n: int) -> np.ndarray:
@@ -63,7 +64,7 @@ class Net:
             yield start, x, (x @ self.filters).reshape(len(chunks), rows, FILTERS)
 
     def pooled(self, chunks: np.ndarray) -> np.ndarray:
-        out = np.full((len(chunks), FILTERS), -np.inf, np.float32)
+        out = np.full((len(chunks), FILTERS), -np.inf, self.filters.dtype)
         for _, _, y in self.responses(chunks):
             np.maximum(out, y.max(1), out=out)
         return np.maximum(out + self.bias, 0)
@@ -100,15 +101,28 @@ class Net:
         settle()
         return self.probability(top)
 
-    def train(self, samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 900, batch: int = 32, rate: float = 4e-3, seed: int = 11) -> Net:
+    def leading(self, raw: bytes, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Of a text's chunks, those that hold the largest value of a feature: at most FEATURES, in their order."""
+        starts = chunk_starts(len(raw))
+        if len(starts) <= FEATURES:
+            return chunks_of(raw, starts)
+        best, where = np.full(FEATURES, -np.inf), np.zeros(FEATURES, np.int64)
+        for k in range(0, len(starts), at_once):
+            f = self.features(*chunks_of(raw, starts[k : k + at_once]))
+            top = f.argmax(0)
+            value = f[top, np.arange(FEATURES)]
+            best, where = np.where(value > best, value, best), np.where(value > best, top + k, where)
+        return chunks_of(raw, starts[np.unique(where)])
+
+    def train(self, texts: list[bytes], labels: np.ndarray, steps: int = 900, batch: int = 32, rate: float = 4e-3, seed: int = 11) -> Net:
         """Adam on the log loss; classes weigh the same. Gradients follow the largest responses back."""
         r = np.random.default_rng(seed)
         state = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in self.NAMES}
         weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-        order = np.concatenate([r.permutation(len(samples)) for _ in range(-(-steps * batch // len(samples)))])
+        order = np.concatenate([r.permutation(len(texts)) for _ in range(-(-steps * batch // len(texts)))])
         for step in range(1, steps + 1):
             pick = order[(step - 1) * batch : step * batch]
-            grads = self._gradients([samples[k] for k in pick], labels[pick], weight[pick])
+            grads = self.gradients([self.leading(texts[k]) for k in pick], labels[pick], weight[pick])
             lr = rate * (1 - 0.95 * step / steps)
             for k, g in grads.items():
                 m, v = state[k]
@@ -118,12 +132,14 @@ class Net:
             self.embed[0] = 0
         return self
 
-    def _gradients(self, samples, labels, weight) -> dict[str, np.ndarray]:
+    def gradients(self, samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted log loss of texts, each given by the chunks that lead in a feature."""
+        kind = self.filters.dtype
         sizes = [len(c) for c, _ in samples]
         chunks, fill = np.concatenate([c for c, _ in samples]), np.concatenate([f for _, f in samples])
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         n = len(chunks)
-        best, where = np.full((n, FILTERS), -np.inf, np.float32), np.zeros((n, FILTERS), np.int64)
+        best, where = np.full((n, FILTERS), -np.inf, kind), np.zeros((n, FILTERS), np.int64)
         for start, _, y in self.responses(chunks):
             k = y.argmax(1)
             top = np.take_along_axis(y, k[:, None, :], 1)[:, 0]
@@ -136,7 +152,7 @@ class Net:
         top = np.maximum.reduceat(feats, first)
         came = np.array([feats[a : a + s].argmax(0) + a for a, s in zip(first, sizes, strict=True)])
         p = self.probability(top)
-        err = ((p - labels) * weight / len(labels)).astype(np.float32)
+        err = ((p - labels) * weight / len(labels)).astype(kind)
         d_last, d_top = top.T @ err, err[:, None] * self.last
         d_hidden = np.zeros_like(hidden)
         np.add.at(d_hidden, (came, np.arange(FEATURES)[None, :]), d_top)
@@ -150,7 +166,7 @@ class Net:
         d_vectors = (d_pooled[:, :, None] * self.filters.T[None]).reshape(n, FILTERS, WIDTH, DIM)
         d_embed = np.zeros_like(self.embed)
         np.add.at(d_embed, seen.reshape(-1), d_vectors.reshape(-1, DIM))
-        return {"embed": d_embed, "filters": d_filters.astype(np.float32), "bias": d_pooled.sum(0), "second": pooled.T @ d_hidden, "bias2": d_hidden.sum(0), "last": d_last, "bias3": np.array([err.sum()], np.float32)}
+        return {"embed": d_embed, "filters": d_filters.astype(kind), "bias": d_pooled.sum(0), "second": pooled.T @ d_hidden, "bias2": d_hidden.sum(0), "last": d_last, "bias3": np.array([err.sum()], kind)}
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
@@ -159,11 +175,12 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", train_rows: int = TRAIN_ROWS, train_chunks: int = TRAIN_CHUNKS) -> Net:
-    """Fits the network to a sample of the labelled rows that are not held out.
+def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Net:
+    """Fits the network to the whole texts of a sample of the labelled rows that are not held out.
 
-    The sample is bounded: train_rows labels of each class, those that come first by a hash of the id, and of each text
-    train_chunks chunks at even distances from its beginning to its end.
+    The sample is bounded twice: by train_rows labels of each class, those that come first by a hash of the id, and by
+    train_bytes, beyond which the driver takes no more texts. An id with both labels counts as good; of repeated rows
+    one is used. Rows with a null id are never used.
     """
     python_ready(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
@@ -171,27 +188,17 @@ def train_on(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     for y in (0, 1):
         part = known.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(train_rows)
         picked = part if picked is None else picked.union(part)
-    n_bytes = CHUNK * train_chunks
-
-    def cut(batches):
-        for b in batches:
-            out = []
-            for t in b.column("_t").to_pylist():
-                raw = t.encode("utf-8", "replace")
-                starts = chunk_starts(len(raw))
-                if len(starts) > train_chunks:
-                    starts = starts[np.linspace(0, len(starts) - 1, train_chunks).round().astype(int)]
-                c, fill = chunks_of(raw, starts)
-                out.append((c.tobytes()[:n_bytes], fill.tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column("_y"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["_id", "_y", "chunks", "fill"])
-
-    source = docs.select(F.col(id_col).alias("_id"), whole_text(text).alias("_t"))
-    found = source.join(F.broadcast(picked.withColumnRenamed(id_col, "_id")), "_id").select("_id", "_y", "_t")  # 2 * train_rows rows at most
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = found.mapInArrow(cut, f"_id {kind}, _y int, chunks binary, fill binary").orderBy(F.xxhash64("_id"), "_id", "chunks").limit(2 * train_rows).collect()
-    samples = [(np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK), np.frombuffer(r["fill"], np.float32)) for r in rows]
-    y = np.array([r["_y"] for r in rows], np.float32)
-    return Net().train(samples, y) if len(rows) else Net()
+    source = docs.select(F.col(id_col).alias("_id"), whole_text(text).cast("binary").alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    found = source.join(F.broadcast(picked.withColumnRenamed(id_col, "_id")), "_id")  # 2 * train_rows rows at most
+    sizes = found.groupBy("_id", "_h").agg(F.max("_y").alias("_y"), F.max(F.octet_length("_t")).alias("n")).orderBy(F.xxhash64("_id"), "_id", "_h").limit(2 * train_rows).collect()
+    room = np.cumsum([r["n"] for r in sizes]) <= train_bytes
+    chosen = [(r["_id"], r["_h"]) for r, fits in zip(sizes, room, strict=True) if fits]
+    if not chosen:
+        return Net()
+    keys = docs.sparkSession.createDataFrame(chosen, f"_id {docs.schema[id_col].dataType.simpleString()}, _h long")
+    rows = source.join(F.broadcast(keys), ["_id", "_h"]).dropDuplicates(["_id", "_h"]).orderBy(F.xxhash64("_id"), "_id", "_h").collect()  # train_bytes at most
+    label_of = {(r["_id"], r["_h"]): r["_y"] for r in sizes}
+    return Net().train([bytes(r["_t"]) for r in rows], np.array([label_of[r["_id"], r["_h"]] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, net: Net, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -209,6 +216,7 @@ def score(docs: DataFrame, net: Net, text: str = "text", keep: list[str] | None
 
 
 def keep_good(docs: DataFrame, net: Net, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all their columns, whose score reaches the threshold. Columns may have any names; ids are not read."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = score(docs.toDF(*names), net, names[docs.columns.index(text)])
     return rows.where(F.col("_score") >= threshold).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
