@@ -1,8 +1,8 @@
 """Order-preserving packing of token streams into windows by dynamic programming.
 
 The documents of a partition, in their order, make one stream of ids. Windows of at most seq_len ids are cut from it at
-document ends, sentence ends or, where those are far apart and near the end of the stream, between other tokens. The
-cuts minimise the sum of padding, truncation penalties and a small cost a window. With p the positions at which a cut
+document ends or sentence ends; only where two of those lie further apart than a window, it is cut between other tokens
+from the first to the second. The cuts minimise the sum of padding, truncation penalties and a small cost a window. With p the positions at which a cut
 may be made, best[j] = penalty[j] + cost + min(best[i] + seq_len - (p[j] - p[i])) over the i within seq_len of j: a
 minimum over a sliding window, kept in a monotone queue. A window whose length is a power of two is not padded; those
 few i are looked at one by one.
@@ -29,23 +29,17 @@ SENTENCE_PENALTY = 2.0
 TOKEN_PENALTY = 8.0
 WINDOW_COST = 64.0
 BLOCK_TOKENS = 1 << 18
-#: Between cuts further apart than twice this, further ones are allowed at this distance.
-FILL = 16
 
 
-def cut_candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, seq_len: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+def cut_candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, seq_len: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending positions after which a cut is allowed, from 0 to the end, and the penalty of each."""
-    n = len(ids)
-    penalty = np.full(n + 1, np.inf)
-    if last:
-        penalty[max(0, n - seq_len) :] = TOKEN_PENALTY
+    penalty = np.full(len(ids) + 1, np.inf)
     penalty[np.flatnonzero(sentence_end[ids]) + 1] = SENTENCE_PENALTY
     penalty[doc_ends] = 0.0
     penalty[0] = 0.0
     at = np.flatnonzero(np.isfinite(penalty))
-    gaps = np.diff(at)
-    for i in np.flatnonzero(gaps > 2 * FILL):
-        penalty[at[i] + FILL : at[i + 1] - FILL + 1 : FILL] = TOKEN_PENALTY
+    for i in np.flatnonzero(np.diff(at) > seq_len):
+        penalty[at[i] + 1 : at[i + 1]] = TOKEN_PENALTY
     at = np.flatnonzero(np.isfinite(penalty))
     return at, penalty[at]
 
@@ -106,7 +100,7 @@ class Stream:
             return None
         ids = np.concatenate(self.parts)
         doc_ends = np.cumsum([total - skip for _, skip, total in self.docs])
-        cuts = best_cuts(*cut_candidates(ids, doc_ends, self.sentence_end, self.seq_len, last), self.seq_len)
+        cuts = best_cuts(*cut_candidates(ids, doc_ends, self.sentence_end, self.seq_len), self.seq_len)
         if not last:
             cuts = cuts[:-1]
         done = cuts[-1]
@@ -166,6 +160,7 @@ def pack(docs: DataFrame, vocabulary: str, seq_len: int = SEQ_LEN, end_id: int =
 
 
 def digest_pieces(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of pack's pieces, the crc32 of the ids in place of the ids; null ids stay null."""
     return pieces.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
