@@ -181,8 +181,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", id_co
 
     Texts of up to leaf_chars characters are encoded where they are read. Longer ones are cut into leaves that go to
     different tasks; the leaves of a text then meet and are joined pairwise, level by level. Null counts as empty;
-    repeated rows give repeated results: rows equal in id and text travel as one group and come out as often as they
-    went in. A null id is an id like any other.
+    rows equal in id and text are encoded once and come out as often as they went in. A null id is an id like any other.
+    Of a long text, its leaves and their ids meet in one task.
     """
     python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text).alias("_t"))
@@ -204,16 +204,17 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", id_co
         c = codec(vocabulary)
         group = group.sort_by("no")
         no, leaf, ids = (group.column(k).to_pylist() for k in ("no", "leaf", "ids"))
-        copies = no.count(0)
-        level = [(leaf[i], np.frombuffer(ids[i], "<u4").astype(np.uint32)) for i in range(0, len(no), copies)]
+        level = [(x, np.frombuffer(i, "<u4").astype(np.uint32)) for x, i in zip(leaf, ids, strict=True)]
         while len(level) > 1:
             pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
             level = [p[0] if len(p) == 1 else (p[0][0] + p[1][0], c.join(*p[0], *p[1])) for p in pairs]
-        return pa.table({"_id": group.column("_id").slice(0, 1).combine_chunks().take(pa.array([0] * copies)), "ids": pa.array([level[0][1].astype("<u4").tobytes()] * copies, pa.binary())})
+        return pa.table({"_id": group.column("_id").slice(0, 1), "copies": group.column("copies").slice(0, 1), "ids": pa.array([level[0][1].astype("<u4").tobytes()], pa.binary())})
 
     cut = rows.where(n > leaf_chars).select("_id", F.sha2("_t", 256).alias("_sha"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / leaf_chars).cast("int")), lambda i: F.substring(F.col("_t"), i * leaf_chars + 1, F.lit(leaf_chars)))).alias("no", "leaf"))
-    encoded = cut.repartition("_id", "_sha", "no").mapInArrow(leaves, f"_id {kind}, _sha string, no int, leaf string, ids binary")
-    long = encoded.groupBy("_id", "_sha").applyInArrow(joined, f"_id {kind}, ids binary")
+    once = cut.groupBy("_id", "_sha", "no").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("copies"))
+    encoded = once.select("_id", "_sha", "no", "copies", "leaf").mapInArrow(leaves, f"_id {kind}, _sha string, no int, copies long, leaf string, ids binary")
+    long = encoded.groupBy("_id", "_sha").applyInArrow(joined, f"_id {kind}, copies long, ids binary")
+    long = long.select("_id", "ids", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_id", "ids")
     return rows.where(n <= leaf_chars).mapInArrow(short, f"_id {kind}, ids binary").union(long).withColumnRenamed("_id", id_col)
 
 
