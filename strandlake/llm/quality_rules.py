@@ -195,11 +195,12 @@ def judge(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all their columns, that judge keeps: one pass counts the votes, a second applies the model."""
-    quality = posterior(with_figures(docs, text, []).toDF(*FIGURES).select(pattern().alias("pattern")))
+    """The rows of docs, all their columns, that judge keeps. Rows and votes are written once, then counted and filtered."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = with_figures(docs, text).toDF(*names, *FIGURES)
-    return rows.where(~base_failed() & (quality(pattern()) >= threshold)).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    rows = with_figures(docs.toDF(*names), names[docs.columns.index(text)]).toDF(*names, *FIGURES).select(*names, pattern().alias("pattern"), base_failed().alias("failed"))
+    rows = Scratch(docs.sparkSession, "quality_rules").save(rows, "votes")
+    quality = posterior(rows)
+    return rows.where(~F.col("failed") & (quality(F.col("pattern")) >= threshold)).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -205,13 +205,13 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radi
 def keep_one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all their columns, of the smallest id of each component; of rows with that id and fingerprint, one."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.save(with_fingerprints(docs, text, [id_col]), "fps")
-    tops = groups(fps, scratch, radius, id_col).where("fp = top").select(F.col("fp").alias("_top"), F.col("component_id").alias("_id"))
-    keys = fps.join(tops, (fps["_fp"] == tops["_top"]) & fps[id_col].eqNullSafe(tops["_id"])).groupBy("_top", "_id").agg(F.count(F.lit(1)).alias("_copies"))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = with_fingerprints(docs.toDF(*names), names[docs.columns.index(text)])
-    own_id = rows[names[docs.columns.index(id_col)]]
-    kept = rows.join(keys, (rows["_fp"] == keys["_top"]) & own_id.eqNullSafe(keys["_id"]))
+    own_id = names[docs.columns.index(id_col)]
+    rows = scratch.save(with_fingerprints(docs.toDF(*names), names[docs.columns.index(text)]), "rows")
+    fps = rows.select(F.col(own_id).alias("_own"), "_fp")
+    tops = groups(fps, scratch, radius, "_own").where("fp = top").select(F.col("fp").alias("_top"), F.col("component_id").alias("_id"))
+    keys = fps.join(tops, (fps["_fp"] == tops["_top"]) & fps["_own"].eqNullSafe(tops["_id"])).groupBy("_top", "_id").agg(F.count(F.lit(1)).alias("_copies"))
+    kept = rows.join(keys, (rows["_fp"] == keys["_top"]) & rows[own_id].eqNullSafe(keys["_id"]))
     kept = kept.where("_copies = 1").union(kept.where("_copies > 1").dropDuplicates(["_top", "_id"]))
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
