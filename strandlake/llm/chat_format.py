@@ -89,10 +89,10 @@ def format_chats(messages: DataFrame, schemas: Schemas | None = None, conv: str
     calls = parsed.where(F.size("calls") > 0).select("row", "conv", "turn", F.posexplode("calls").alias("index", "call")).select("row", "conv", "turn", "index", "call.*")
     first = calls.where("id is not null").groupBy("conv", "id").agg(F.min(F.struct("turn", "index", "row")).alias("at"))
     results = parsed.where("call_id is not null").select("row", "conv", F.col("call_id").alias("id"))
-    linked = results.join(first.hint("shuffle_hash"), results["conv"].eqNullSafe(first["conv"]) & (results["id"] == first["id"]), "left").select(results["row"], "at")
+    linked = results.join(first, results["conv"].eqNullSafe(first["conv"]) & (results["id"] == first["id"]), "left").select(results["row"], "at")
     done = results.select("conv", "id").distinct().withColumn("answered", F.lit(1))
     judged = calls.withColumn("problems", problems(F.col("name"), F.col("arguments"), schemas))
-    judged = judged.join(done.hint("shuffle_hash"), judged["conv"].eqNullSafe(done["conv"]) & (judged["id"] == done["id"]), "left").drop(done["conv"], done["id"])
+    judged = judged.join(done, judged["conv"].eqNullSafe(done["conv"]) & (judged["id"] == done["id"]), "left").drop(done["conv"], done["id"])
     per_row = judged.groupBy("row").agg(F.count(F.lit(1)).alias("n_calls"), F.count("answered").alias("n_linked"), F.count_if(F.size("problems") > 0).alias("n_invalid"))
     rows = parsed.join(linked, "row", "left").join(per_row, "row", "left")
     own = F.struct(F.col("turn").alias("t"), F.lit(0).alias("s"), F.lit(0).alias("i"))

@@ -26,10 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, and a lost executor's tasks are run again from them."""
+    """Tables written to the shared folder: they cut lineage, and a lost executor's tasks are run again from them.
+
+    What an operator returns still reads some of them, so they stay until clear_scratch is called.
+    """
+
+    roots: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.roots.append(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -38,18 +44,33 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of all operators called so far; what they returned must have been used or written."""
+    while Scratch.roots:
+        _delete(spark, Scratch.roots.pop())
 
 
 def python_ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package, and bounds Arrow batches by bytes as well as rows: texts can be long."""
+    """Lets Python workers import this package, and bounds Arrow batches by bytes as well as rows: texts can be long.
+
+    The session keeps the bounds, which only ever become smaller: plans are run after the operator has returned.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for name, bound in (("maxRecordsPerBatch", 1024), ("maxBytesPerBatch", 16 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= bound:
+            spark.conf.set(name, str(bound))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from strandlake.llm.tokens import default_vocabulary
 
 
 def judge_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what fails the base or is more likely bad than good; null and empty texts fail the base."""
     return quality_rules.keep_good(docs)
 
 
@@ -22,14 +23,17 @@ def judge_by_net(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal texts, keeps the one with the largest id."""
     return exact_dedup.keep_first_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows linked by like fingerprints, keeps the one with the smallest id."""
     return simhash.keep_one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows' tokens, null text as empty."""
     return packing.digest_pieces(packing.pack(docs, default_vocabulary()))
 
 

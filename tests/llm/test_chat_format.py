@@ -1,4 +1,5 @@
 import json
+import random
 
 from strandlake.llm.chat_format import format_chats
 
@@ -30,5 +31,59 @@ def test_links_orders_validates_and_serialises(spark):
     assert by[None, 0]["json"] == '{"content":"","role":""}'
 
 
+def brute(rows, schemas):
+    """(conv, turn, row) -> (n_calls, n_linked, n_invalid, linked, place), by loops over each conversation."""
+    types = {str: "string", bool: "boolean", int: "integer", float: "number", dict: "object", list: "array", type(None): "null"}
+    calls, results, out = {}, {}, {}
+    for k, (conv, turn, role, text) in enumerate(rows):
+        x = json.loads(text) if role in ("assistant", "tool") and text.startswith("{") else {}
+        if role == "assistant":
+            for i, c in enumerate(x.get("tool_calls", [])):
+                calls.setdefault((conv, c["id"]), []).append((turn, i, k, c))
+        elif role == "tool" and "tool_call_id" in x:
+            results.setdefault((conv, x["tool_call_id"]), []).append(k)
+    for k, (conv, turn, role, text) in enumerate(rows):
+        own = [(i, c) for group in calls.values() for (_, i, at, c) in group if at == k]
+        invalid = 0
+        for _, c in own:
+            spec = schemas.get(c["name"])
+            bad = spec is None
+            if not bad:
+                args = c["arguments"]
+                bad = any(need and p not in args for p, (_, need) in spec.items()) or any(p not in spec or types[type(v)] != spec[p][0] for p, v in args.items())
+            invalid += bad
+        linked, place = None, (turn, 0, 0)
+        for (where, call_id), answers in results.items():
+            if k in answers:
+                linked = (where, call_id) in calls
+                if linked:
+                    first = min(calls[where, call_id], key=lambda c: c[:2])
+                    place = max(place, (first[0], 1, first[1]))
+        out[k] = (len(own), sum((conv, c["id"]) in results for _, c in own), invalid, linked, place)
+    return out
+
+
+def test_linking_equals_brute_force(spark):
+    """Random conversations: call ids that repeat, results before their calls, unknown tools, odd arguments."""
+    r = random.Random(4)
+    schemas = {"search": {"query": ("string", True), "limit": ("integer", False)}, "run": {"flags": ("array", False)}, "none": {}}
+    rows = []
+    for conv in range(12):
+        for turn in range(r.randint(1, 12)):
+            role = r.choice(["user", "assistant", "assistant", "tool", "tool"])
+            text = "plain"
+            if role == "assistant" and r.random() < 0.8:
+                made = [{"id": f"c{r.randint(0, 6)}", "name": r.choice(["search", "run", "none", "other"]), "arguments": r.choice([{}, {"query": "q"}, {"query": 3}, {"query": "q", "limit": 2}, {"limit": "x"}, {"flags": [1]}, {"flags": {}}])} for _ in range(r.randint(1, 3))]
+                text = json.dumps({"content": "c", "tool_calls": made})
+            elif role == "tool":
+                text = json.dumps({"content": "x" * r.choice([1, 70000]), "tool_call_id": f"c{r.randint(0, 8)}"})
+            rows.append((conv, turn, role, text))
+    extra = spark.createDataFrame([(*x, "row", "v", "calls") for x in rows], "conv_id long, turn long, role string, text string, row string, v string, calls string")
+    got = {(x["conv_id"], x["turn"]): x for x in format_chats(extra, schemas).collect()}
+    for k, want in brute(rows, schemas).items():
+        x = got[rows[k][0], rows[k][1]]
+        assert (x["n_calls"], x["n_linked"], x["n_invalid"], x["linked"], (x["order_turn"], x["order_step"], x["order_index"])) == want, rows[k]
+
+
 def test_empty(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

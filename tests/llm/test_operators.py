@@ -142,6 +142,18 @@ def test_packing(docs, nothing, library, block_tokens):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_cuts_lie_at_boundaries():
+    """Between other tokens only where two boundaries lie further apart than a window."""
+    r = np.random.default_rng(4)
+    ids = r.integers(0, 50, 3000).astype(np.uint32)
+    ids[1000:1400] = 7
+    ends, sentence_end = np.array([200, 900, 3000]), np.arange(50) == 3
+    at, penalty = packing.cut_candidates(ids, ends, sentence_end, 256)
+    marks = sorted({0, 200, 900, 3000, *(np.flatnonzero(ids == 3) + 1).tolist()})
+    want = set(marks) | {k for a, b in zip(marks, marks[1:]) if b - a > 256 for k in range(a, b)}
+    assert at.tolist() == sorted(want) and set(penalty[np.isin(at, ends)]) == {0.0}
+
+
 def test_best_cuts_is_optimal():
     r = random.Random(2)
     for _ in range(60):
@@ -284,6 +296,122 @@ def test_classifier(spark):
     assert quality_net.score(df.where("false"), quality_net.train_on(df.where("false"), labels)).count() == 0
 
 
+def small_net():
+    """With double precision, so that differences show gradients."""
+    net = quality_net.Net(seed=3)
+    for k in net.NAMES:
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    return net
+
+
+def brute_score(net, text):
+    """Filters slid over each byte that they are slid over, one at a time, over every chunk."""
+    raw = text.encode("utf-8", "replace")
+    top = np.full(quality_net.FEATURES, 0.0)
+    for at in range(0, max(1, len(raw) - quality_net.OVERLAP), quality_net.CHUNK - quality_net.OVERLAP):
+        part = raw[at : at + quality_net.CHUNK]
+        padded = part + bytes(quality_net.CHUNK - len(part))
+        best = np.full(quality_net.FILTERS, -np.inf)
+        for k in range(0, quality_net.CHUNK - quality_net.WIDTH + 1, quality_net.STEP):
+            window = np.concatenate([net.embed[b] for b in padded[k : k + quality_net.WIDTH]])
+            best = np.maximum(best, window @ net.filters)
+        pooled = np.append(np.maximum(best + net.bias, 0), len(part) / quality_net.CHUNK)
+        top = np.maximum(top, np.maximum(pooled @ net.second + net.bias2, 0))
+    return 1 / (1 + np.exp(-(top @ net.last + net.bias3[0])))
+
+
+def test_classifier_equals_brute_force():
+    net = small_net()
+    texts = ["", "a", "é" * 130, "plain words " * 50, "x" * 255, "y" * 257, "long text. " * 600]
+    assert np.allclose(net.scores(texts, at_once=3), [brute_score(net, t) for t in texts], rtol=1e-5)
+    for t in texts:
+        raw = t.encode()
+        every = net.features(*quality_net.chunks_of(raw)).max(0)
+        assert np.allclose(net.features(*net.leading(raw, at_once=4)).max(0), every)
+
+
+def test_classifier_gradients():
+    net = small_net()
+    r = np.random.default_rng(5)
+    texts = [bytes(r.integers(97, 123, n).astype(np.uint8)) for n in (10, 300, 900, 6000)]
+    labels, weight = np.array([0.0, 1.0, 1.0, 0.0]), np.array([1.0, 2.0, 0.5, 1.0])
+    grads = net.gradients([net.leading(t) for t in texts], labels, weight)
+
+    def loss():
+        p = np.array([brute_score(net, t.decode()) for t in texts])
+        return (-(labels * np.log(p) + (1 - labels) * np.log(1 - p)) * weight).mean()
+
+    for name in net.NAMES:
+        flat, grad = getattr(net, name).reshape(-1), grads[name].reshape(-1)
+        for k in np.argsort(-np.abs(grad))[:2]:
+            old, step = flat[k], 1e-6
+            flat[k] = old + step
+            up = loss()
+            flat[k] = old - step
+            down = loss()
+            flat[k] = old
+            assert abs((up - down) / (2 * step) - grad[k]) < 1e-4 * max(1, abs(grad[k])), (name, k)
+
+
+def brute_posterior(rows, rounds=100, strength=0.01):
+    """Expectation-maximisation document by document: rows are tuples of votes, 0 bad, 1 none, 2 good."""
+    n, m = len(rows), len(rows[0])
+    share = [[sum(x[j] == v for x in rows) / n for v in range(3)] for j in range(m)]
+    good = [0.05 if 0 in x else 0.95 for x in rows]
+    for _ in range(rounds):
+        odds = {}
+        for side, lean in ((1, (0.1, 1.0, 0.9)), (0, (0.9, 1.0, 0.1))):
+            for j in range(m):
+                prior = [(share[j][v] + 1e-3) * lean[v] for v in range(3)]
+                got = [sum(q if side else 1 - q for q, x in zip(good, rows) if x[j] == v) + strength * n * prior[v] / sum(prior) for v in range(3)]
+                odds[side, j] = [g / sum(got) for g in got]
+        base = (sum(good) + 0.9 * strength * n) / (n + strength * n)
+        new = []
+        for x in rows:
+            a, b = base, 1 - base
+            for j, v in enumerate(x):
+                a, b = a * odds[1, j][v], b * odds[0, j][v]
+            new.append(a / (a + b))
+        done = max(abs(p - q) for p, q in zip(new, good)) < 1e-9
+        good = new
+        if done:
+            break
+    return good
+
+
+def test_posterior_equals_brute_force(spark):
+    r = random.Random(9)
+    rows = []
+    for _ in range(400):
+        good = r.random() < 0.7
+        rows.append(tuple((2 if good == (r.random() < 0.85) else 0) if r.random() < 0.6 else 1 for _ in range(4)))
+    coded = [sum(v * 3 ** (3 - j) for j, v in enumerate(x)) for x in rows]
+    model = quality_rules.fit({k: coded.count(k) for k in set(coded)}, 4)
+    assert np.allclose([model[k] for k in coded], brute_posterior(rows), atol=1e-6)
+    # kept, from texts to verdict
+    words = ["the", "of", "and", "to"]
+    texts = [" ".join(r.choice(words) if r.random() < 0.3 else "".join(r.choices("etaoinshr", k=r.randint(3, 8))) for _ in range(r.randint(10, 90))) for _ in range(150)]
+    texts = [" ".join(w + "##" for w in t.split()) if k % 5 == 0 else t.upper() if k % 7 == 0 else t for k, t in enumerate(texts)]
+    got = {x["doc_id"]: x for x in quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    votes = []
+    for t in texts:
+        f = dict(zip(quality_rules.FIGURES, quality_rules.figures(t)))
+        w, letters = f["n_words"], f["n_upper"] + f["n_lower"]
+        votes.append((
+            0 if f["n_symbols"] > 0.1 * w else 1,
+            0 if f["n_marks"] > 0.2 * w else 1,
+            0 if w >= 20 and f["n_upper"] > 0.4 * letters else 1,
+            0 if w >= 20 and f["n_echo"] > 0.2 * w else 1,
+            0 if f["n_repeat_words"] > 0.3 * w else 2 if w >= 20 and f["n_repeat_words"] == 0 else 1,
+            0 if w >= 50 and f["n_stop"] < 0.02 * w else 2 if f["n_stop"] > 0.1 * w else 1,
+            0 if f["word_chars"] < 2.5 * w or f["word_chars"] > 12 * w else 1,
+            2 if f["n_symbols"] <= 0.02 * w and f["n_marks"] <= 0.05 * w and f["n_upper"] <= 0.2 * letters and f["n_echo"] <= 0.05 * w else 1,
+        ))
+    for k, q in enumerate(brute_posterior(votes)):
+        assert abs(got[k]["quality"] - q) < 1e-6 and got[k]["kept"] == (not got[k]["base_failed"] and q >= 0.5)
+    assert 0 < sum(x["kept"] for x in got.values()) < len(texts)
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_token_files(docs, nothing, library, planes):
     files = token_files.write_token_files(docs, tokens.default_vocabulary(), 2, planes=planes, chunk_ids=777)
