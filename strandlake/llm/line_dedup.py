@@ -32,7 +32,7 @@ THRESHOLD = 2
 #: The most lines of a tile, about.
 TILE = 256
 #: Meetings of more lines than this are split by further segments, at most so many times.
-LARGE, SPLITS = 512, 3
+LARGE, SPLITS = 256, 3
 #: Bits of the filter through which lines pass before those that are wanted are joined: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
 #: A task remembers so many lines whose keys it has sent.
@@ -313,7 +313,7 @@ def _links(rows: DataFrame, threshold: int) -> DataFrame:
         node, lines = part.column("node").to_numpy(), part.column("line").to_pylist()
         i, j = pairs(part)
         names, index = np.unique(node, return_inverse=True)
-        _, first = np.unique(np.stack([np.minimum(index[i], index[j]), np.maximum(index[i], index[j])]), axis=1, return_index=True) if len(i) else (None, i)
+        _, first = np.unique(np.minimum(index[i], index[j]) * len(names) + np.maximum(index[i], index[j]), return_index=True)
         i, j = i[first], j[first]
         forest = Forest(len(names))
         step = 1 << 15
@@ -328,12 +328,12 @@ def _links(rows: DataFrame, threshold: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
     def run(batches):
-        """Cuts the sorted rows where a meeting ends, at about 16,000 rows."""
+        """Cuts the sorted rows where a meeting ends, at about 4,000 rows: some 500,000 pairs at most."""
         held = None
         for b in batches:
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 1 << 14:
+            if held.num_rows < 1 << 12:
                 continue
             key = np.stack([held.column(k).to_numpy() for k in ("key", "s", "t")])
             ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
