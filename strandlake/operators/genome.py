@@ -188,7 +188,10 @@ def cluster_events(df: DataFrame, by: list[str], pos: str, read: str, window: in
 
 
 def candidate_regions(reads: DataFrame, index: DataFrame, key: str, most: int = 100) -> DataFrame:
-    """Votes of shared hashes for each place (chrom, reference pos - read pos); hashes of more than `most` places are no seeds."""
-    common = index.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("hash")
-    seeds = index.join(common, "hash", "left_semi")
+    """Votes of shared hashes for each place (chrom, reference pos - read pos). Of a hash, the first `most` places by (chrom, pos) are seeds.
+
+    Spark filters the ranks of a group before it shuffles, so a frequent hash sends at most that many rows a task.
+    """
+    first = Window.partitionBy("hash").orderBy("chrom", "pos")
+    seeds = index.select("hash", "chrom", "pos").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most)
     return reads.join(seeds.select("hash", "chrom", F.col("pos").alias("_p")), "hash").groupBy(key, "chrom", (F.col("_p") - F.col("pos")).alias("start")).agg(F.count(F.lit(1)).alias("support"))

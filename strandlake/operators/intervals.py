@@ -283,9 +283,12 @@ def count_features(reads: DataFrame, features: DataFrame, name: str = "name") ->
     return features.select(name).join(n, name, "left").select(name, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def annotate(variants: DataFrame, features: DataFrame) -> DataFrame:
-    """Each variant with the smallest-named feature (half-open, 0-based) that it lies in, and the number of those; null and 0 if none."""
+def annotate(variants: DataFrame, features: DataFrame, rank: Column | None = None) -> DataFrame:
+    """Each variant with the feature (half-open, 0-based) of the highest rank that it lies in, and the number of features; null and 0 if none.
+
+    rank is a column of features, all equal if None; of equal ranks the smallest name counts.
+    """
     v = variants.select("id", "chrom", (F.col("pos") - 1).alias("v_start"), F.col("pos").alias("v_stop"))
-    f = features.select("chrom", "start", "stop", "name")
-    hits = range_join(v, f, ("v_start", "v_stop"), ("start", "stop"), closed=False).groupBy("id").agg(F.min("name").alias("feature"), F.count(F.lit(1)).alias("n"))
-    return variants.select("id").join(hits, "id", "left").select("id", "feature", F.coalesce("n", F.lit(0)).alias("n_features"))
+    f = features.select("chrom", "start", "stop", "name", (F.lit(0) if rank is None else -rank).alias("_low"))
+    hits = range_join(v, f, ("v_start", "v_stop"), ("start", "stop"), closed=False).groupBy("id").agg(F.min(F.struct("_low", "name")).alias("_best"), F.count(F.lit(1)).alias("n"))
+    return variants.select("id").join(hits, "id", "left").select("id", F.col("_best.name").alias("feature"), (-F.col("_best._low")).alias("rank"), F.coalesce("n", F.lit(0)).alias("n_features"))

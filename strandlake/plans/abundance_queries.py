@@ -44,12 +44,12 @@ KMERS = "SELECT doc_id, i AS pos, substr(seq, i, {k}) AS kmer FROM (SELECT doc_i
 
 
 def classify(d):
-    reads = sq.kmers(d.select("doc_id", F.substring("seq", 1, 80).alias("seq")), "seq", 6)
-    database = sq.kmers(d.where("doc_id % 50 = 0"), "seq", 6).groupBy("kmer").agg(F.min(F.concat(F.lit("t"), (F.col("doc_id") % 7).cast("string"))).alias("taxon"))
+    reads = sq.kmers(d, "seq", 9)
+    database = sq.kmers(d, "seq", 9).groupBy("kmer").agg(F.min(F.concat(F.lit("t"), (F.col("doc_id") % 7).cast("string"))).alias("taxon"))
     return ab.kmer_votes(reads, database, "doc_id")
 
 
-one("kmer_classify", "dna", classify, f"WITH b AS (SELECT kmer, min('t' || doc_id % 7) AS taxon FROM ({KMERS.format(k=6)}) WHERE doc_id % 50 = 0 GROUP BY kmer), q AS (SELECT doc_id, kmer FROM ({KMERS.format(k=6)}) WHERE pos <= 75), v AS (SELECT doc_id, taxon, count(*) AS n FROM q JOIN b USING (kmer) GROUP BY 1, 2), w AS (SELECT doc_id, taxon, n FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, taxon) = 1) SELECT q.doc_id, coalesce(taxon, 'unclassified') AS taxon, coalesce(n, 0) AS votes FROM (SELECT DISTINCT doc_id FROM q) q LEFT JOIN w USING (doc_id)")
+one("kmer_classify", "dna", classify, f"WITH b AS (SELECT kmer, min('t' || doc_id % 7) AS taxon FROM ({KMERS.format(k=9)}) GROUP BY kmer), q AS (SELECT doc_id, kmer FROM ({KMERS.format(k=9)})), v AS (SELECT doc_id, taxon, count(*) AS n FROM q JOIN b USING (kmer) GROUP BY 1, 2), w AS (SELECT doc_id, taxon, n FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, taxon) = 1) SELECT q.doc_id, coalesce(taxon, 'unclassified') AS taxon, coalesce(n, 0) AS votes FROM (SELECT DISTINCT doc_id FROM q) q LEFT JOIN w USING (doc_id)")
 one("pathway_totals", "SELECT gene, count FROM counts", lambda d: ab.pathway_totals(d, d.select("gene", F.concat(F.lit("p"), F.substring("gene", 7, 1)).alias("pathway")).distinct(), "gene", "count"), "SELECT 'p' || substr(gene, 7, 1) AS pathway, CAST(sum(count) AS BIGINT) AS abundance FROM counts GROUP BY 1")
 one("strain_haplotypes", "SELECT user_id, pos % 40 AS pos, ref FROM variants", lambda d: ab.haplotypes(d, "user_id", "pos", "ref"), "SELECT user_id, string_agg(pos || ':' || ref, '|' ORDER BY pos, ref) AS haplotype FROM (SELECT DISTINCT user_id, pos, ref FROM @) GROUP BY user_id")
 LINEAGES = "SELECT r_name || ';' || n_name || '|' || r_name || ';' || substring(n_name, 1, 3) || '|' || r_name || ';X' AS votes, n_nationkey AS k, r_name AS want FROM nation JOIN region ON n_regionkey = r_regionkey"

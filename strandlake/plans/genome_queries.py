@@ -24,12 +24,12 @@ def r(column, digits=7):
     return F.round(column, digits).alias(column)
 
 
-ALIGNED = "SELECT doc_id, substring(seq, 1, 60) AS seq FROM dna WHERE length(seq) >= 60"
+ALIGNED = "SELECT doc_id, seq FROM pieces"
 SITES = f"SELECT pos, sym, count(*) AS n FROM (SELECT i AS pos, substr(seq, i, 1) AS sym FROM (SELECT seq, unnest(range(1, 61)) AS i FROM ({ALIGNED}))) GROUP BY 1, 2"
 SUMMARY = f"SELECT pos, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS total, min(n) AS rarest, (pow(sum(n), 2) - sum(n * n)) / (sum(n) * (sum(n) - 1)) AS differing FROM ({SITES}) GROUP BY pos"
 one("segregating_sites", ALIGNED, lambda d: gn.site_summary(d).select("pos", "kinds", "total", "rarest", r("differing")), f"SELECT pos, kinds, total, rarest, round(differing, 7) AS differing FROM ({SUMMARY})")
 one("diversity_statistics", ALIGNED, lambda d: gn.diversity_statistics(d).select("n", "segregating", r("pi"), r("theta"), r("tajima_d", 5)), f"WITH s AS (SELECT count_if(kinds > 1) AS s, sum(differing) AS k FROM ({SUMMARY})), x AS (SELECT count(*)::DOUBLE AS n FROM @), h AS (SELECT sum(1 / i) AS a1, sum(1 / (i * i)) AS a2 FROM (SELECT unnest(range(1, CAST(n AS BIGINT)))::DOUBLE AS i FROM x)), c AS (SELECT *, (n + 1) / (3 * (n - 1)) - 1 / a1 AS c1, 2 * (n * n + n + 3) / (9 * n * (n - 1)) - (n + 2) / (a1 * n) + a2 / (a1 * a1) AS c2 FROM s, x, h) SELECT CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS segregating, round(k / 60, 7) AS pi, round(s / a1 / 60, 7) AS theta, round((k - s / a1) / sqrt(c1 / a1 * s + c2 / (a1 * a1 + a2) * s * (s - 1)), 5) AS tajima_d FROM c")
-TWO = "SELECT doc_id, translate(substring(seq, 1, 60), 'GC', 'AT') AS seq FROM dna WHERE length(seq) >= 60"
+TWO = "SELECT doc_id, translate(seq, 'GC', 'AT') AS seq FROM pieces"
 one("site_frequency_spectrum", TWO, lambda d: gn.site_spectrum(d), "WITH c AS (SELECT i, substr(seq, i, 1) AS s, count(*) AS n FROM (SELECT seq, unnest(range(1, 61)) AS i FROM @) GROUP BY 1, 2), m AS (SELECT i, min(n) AS minor FROM c GROUP BY i HAVING count(*) = 2) SELECT minor, count(*) AS sites FROM m GROUP BY 1")
 one("alignment_consensus", ALIGNED, lambda d: gn.consensus(d, least=0.35), f"SELECT pos, CASE WHEN n / t >= 0.35 THEN sym ELSE 'N' END AS letter FROM (SELECT *, sum(n) OVER (PARTITION BY pos) AS t FROM ({SITES})) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY n DESC, sym) = 1")
 P = "SELECT pop, snp, avg(dosage) / 2 AS p FROM genotypes WHERE dosage IS NOT NULL GROUP BY 1, 2"
@@ -61,12 +61,12 @@ one("cluster_variants", EVIDENCE, lambda d: gn.cluster_events(d, ["chrom"], "pos
 
 
 def regions(d):
-    index = sq.kmers(d.where("doc_id % 20 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), "seq"), "seq", 12).withColumnRenamed("kmer", "hash")
-    reads = sq.kmers(d.where("doc_id % 20 = 1").select("doc_id", "seq"), "seq", 12).withColumnRenamed("kmer", "hash")
+    index = sq.kmers(d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), "seq"), "seq", 16).withColumnRenamed("kmer", "hash")
+    reads = sq.kmers(d.select("doc_id", "seq"), "seq", 16).withColumnRenamed("kmer", "hash")
     return gn.candidate_regions(reads, index, "doc_id", 5).where("support >= 3")
 
 
-one("candidate_regions", "dna", regions, f"WITH i AS (SELECT 'd' || doc_id AS chrom, pos, kmer FROM ({KMERS.format(k=12)}) WHERE doc_id % 20 = 0 QUALIFY count(*) OVER (PARTITION BY kmer) <= 5) SELECT q.doc_id, chrom, i.pos - q.pos AS start, count(*) AS support FROM ({KMERS.format(k=12)}) q JOIN i USING (kmer) WHERE q.doc_id % 20 = 1 GROUP BY ALL HAVING count(*) >= 3")
+one("candidate_regions", "dna", regions, f"WITH i AS (SELECT 'd' || doc_id AS chrom, pos, kmer FROM ({KMERS.format(k=16)}) QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY 'd' || doc_id, pos) <= 5) SELECT q.doc_id, chrom, i.pos - q.pos AS start, count(*) AS support FROM ({KMERS.format(k=16)}) q JOIN i USING (kmer) GROUP BY ALL HAVING count(*) >= 3")
 FRAGMENTS = "SELECT DISTINCT 'f' || chrom || '-' || CAST(lo AS STRING) || '-' || CAST(hi AS STRING) || strand AS id, chrom, lo, hi FROM ranges"
 PEAKS = "SELECT DISTINCT chrom, start + 1 AS lo, stop AS hi, gene_id AS peak FROM genes"
 QUERIES["best_peak"] = lambda s, d: sg.best_peak(query(s, d, FRAGMENTS), query(s, d, PEAKS), "id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.operators import intervals as iv
+from strandlake.operators.labels import severity
 from strandlake.plans.views import duck, query, view
 
 LENGTHS = "SELECT 'chr' || CAST(r AS STRING) AS chrom, CAST(15000 + 1000 * r AS BIGINT) AS length FROM (SELECT DISTINCT s_suppkey % 23 + 1 AS r FROM supplier)"
@@ -86,6 +87,10 @@ register(
     lambda s, d: iv.parallel_pairs(query(s, d, NUMBERED.format(m=3, w=40)), query(s, d, NUMBERED.format(m=4, w=15))),
 )
 register("count_features", "SELECT g.name, count(i.start) AS n FROM genes g LEFT JOIN intervals i ON g.chrom = i.chrom AND i.start < g.stop AND g.start < i.stop GROUP BY g.name", lambda s, d: iv.count_features(view(s, d, "intervals"), view(s, d, "genes")))
-register("annotate_variants", "SELECT v.id, min(g.name) AS feature, count(g.name) AS n_features FROM variants v LEFT JOIN genes g ON v.chrom = g.chrom AND g.start < v.pos AND v.pos <= g.stop GROUP BY v.id", lambda s, d: iv.annotate(view(s, d, "variants"), view(s, d, "genes")))
+EFFECTS = "SELECT chrom, start, stop, name, CASE gene_id % 4 WHEN 0 THEN 'intron_variant' WHEN 1 THEN 'missense_variant' WHEN 2 THEN 'synonymous_variant' ELSE 'stop_gained' END AS consequence, CAST(CASE gene_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 5 END AS INT) AS rank FROM genes"
+register(
+    "annotate_variants", f"SELECT id, name AS feature, rank, n_features FROM (SELECT v.id, g.name, g.rank, count(g.name) OVER (PARTITION BY v.id) AS n_features, row_number() OVER (PARTITION BY v.id ORDER BY g.rank DESC, g.name) AS k FROM variants v LEFT JOIN ({EFFECTS}) g ON v.chrom = g.chrom AND g.start < v.pos AND v.pos <= g.stop) WHERE k = 1",
+    lambda s, d: iv.annotate(view(s, d, "variants"), query(s, d, EFFECTS), severity(F.col("consequence"))),
+)
 DEPTHS = "SELECT chrom, CAST(floor(pos / 50) AS BIGINT) AS b, count(*) % 2 AS v FROM variants GROUP BY 1, 2"
 register("signal_run_length", f"WITH x AS ({DEPTHS}), n AS (SELECT *, CASE WHEN lag(b) OVER w = b - 1 AND lag(v) OVER w = v THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY chrom ORDER BY b)), r AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY b) AS k FROM n) SELECT chrom, v, min(b) AS start, max(b) + 1 AS stop FROM r GROUP BY chrom, k, v", lambda s, d: iv.run_length(query(s, d, DEPTHS), ("chrom",), "b", "v"))

@@ -51,7 +51,7 @@ rows(
 rows("protein_search", lambda d: d.select("doc_id", F.inline(sq.whole_frames(F.col("seq")))).where(F.contains("protein", F.lit("HN"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "SELECT doc_id, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, {PROTEIN.format(s='x', f=f)} AS protein FROM ({BOTH})" for f in (1, 2, 3)) + ") WHERE contains(protein, 'HN') GROUP BY doc_id")
 KMERS = "SELECT doc_id, i AS pos, substr(seq, i, {k}) AS kmer FROM (SELECT doc_id, seq, unnest(range(1, len(seq) - {k} + 2)) AS i FROM dna)"
 for name, k in (("letter_frequency", 1), ("dinucleotide_frequency", 2), ("trinucleotide_frequency", 3), ("kmer_frequency", 5)):
-    rows(name, lambda d, k=k: sq.kmer_counts(d, "seq", k, spread=True), f"SELECT kmer, count(*) AS n FROM ({KMERS.format(k=k)}) GROUP BY kmer")
+    rows(name, lambda d, k=k: sq.kmer_counts(d, "seq", k), f"SELECT kmer, count(*) AS n FROM ({KMERS.format(k=k)}) GROUP BY kmer")
 rows("oligonucleotide_share", lambda d: sq.kmer_counts(d, "seq", 4).crossJoin(F.broadcast(sq.kmers(d, "seq", 4).agg(F.count(F.lit(1)).alias("t")))).select("kmer", F.round(F.col("n") / F.col("t"), 9).alias("share")), f"SELECT kmer, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM ({KMERS.format(k=4)}) GROUP BY kmer")
 rows("sequence_complexity", lambda d: sq.linguistic_complexity(d, "seq", 3, "doc_id").select("doc_id", F.round("complexity", 9).alias("complexity")), f"SELECT doc_id, round(count(DISTINCT kmer) / least(64, count(*)), 9) AS complexity FROM ({KMERS.format(k=3)}) GROUP BY doc_id")
 rows("sequence_entropy", lambda d: sq.sequence_entropy(d, "seq", 1, "doc_id").select("doc_id", F.round("entropy", 6).alias("entropy")), f"SELECT doc_id, round(-sum(p * log2(p)), 6) + 0 AS entropy FROM (SELECT doc_id, kmer, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM ({KMERS.format(k=1)}) GROUP BY doc_id, kmer) GROUP BY doc_id")
@@ -83,14 +83,14 @@ def adaptation(d):
 rows("codon_adaptation_index", adaptation, f"WITH t AS (SELECT codon, ln(round((n + 0.5) / max(n + 0.5) OVER (PARTITION BY aa), 9)) AS w FROM (SELECT codon, {AA_OF} AS aa, count(*) AS n FROM ({CODON}) GROUP BY codon) WHERE aa <> '*'), c AS (SELECT doc_id, substr(seq, 3 * i + 1, 3) AS codon FROM (SELECT doc_id, seq, unnest(range(0, len(seq) // 3)) AS i FROM dna)) SELECT doc_id, round(exp(avg(w)), 6) AS cai FROM c JOIN t USING (codon) GROUP BY doc_id")
 rows("restriction_sites", lambda d: sq.find_sites(d, "seq", "GAATTC|GGATCC|AAGCTT|GATATC|AGCT.{2}", 6), f"SELECT doc_id, pos, kmer FROM ({KMERS.format(k=6)}) WHERE regexp_full_match(kmer, 'GAATTC|GGATCC|AAGCTT|GATATC|AGCT.{{2}}')")
 rows("pam_sites", lambda d: sq.find_sites(d, "seq", ".{20}.GG", 23).select("doc_id", "pos", F.substring("kmer", 1, 20).alias("guide"), F.round(sq.guide_efficiency(F.substring("kmer", 1, 20), F.substring("kmer", 21, 3)), 9).alias("score")), f"SELECT doc_id, pos, g AS guide, round(least(greatest(0.6 * (1 - abs({GC.format('g')} - 0.5) / 0.5) + CASE WHEN starts_with(g, 'G') THEN 0.05 ELSE 0 END + CASE WHEN ends_with(g, 'G') THEN 0.05 ELSE 0 END - CASE WHEN regexp_matches(g, 'A{{4}}|C{{4}}|G{{4}}|T{{4}}') THEN 0.25 ELSE 0 END, 0), 1), 9) AS score FROM (SELECT doc_id, pos, kmer, substr(kmer, 1, 20) AS g FROM ({KMERS.format(k=23)})) WHERE regexp_full_match(kmer, '.{{20}}.GG')")
-rows("motif_counts", lambda d: sq.kmers(d.where(F.length("seq") >= 12).select("doc_id", F.substring("seq", 1, 12).alias("seq")), "seq", 1).groupBy("pos").agg(*[F.count_if(F.col("kmer") == b).alias(b) for b in "ACGT"]), f"SELECT pos, " + ", ".join(f"CAST(count_if(kmer = '{b}') AS BIGINT) AS \"{b}\"" for b in "ACGT") + f" FROM ({KMERS.format(k=1)}) WHERE pos <= 12 AND doc_id IN (SELECT doc_id FROM dna WHERE len(seq) >= 12) GROUP BY pos")
+rows("motif_counts", lambda d: sq.kmers(d, "seq", 1).groupBy("pos").agg(*[F.count_if(F.col("kmer") == b).alias(b) for b in "ACGT"]), f"SELECT pos, " + ", ".join(f"CAST(count_if(kmer = '{b}') AS BIGINT) AS \"{b}\"" for b in "ACGT") + f" FROM ({KMERS.format(k=1).replace('FROM dna', 'FROM pieces')}) GROUP BY pos", "pieces")
 PRO = f"SELECT doc_id, replace({prot}, '*', '') AS p FROM dna"
 mass = "+".join(f"{w}::DOUBLE * ({n_of(a, 'p')})" for a, w in sq.MASS_MONO.items())
 kd = "+".join(f"({w})::DOUBLE * ({n_of(a, 'p')})" for a, w in sq.HYDROPATHY.items())
 QUERIES["protparam"] = lambda s, d: view(s, d, "dna").select("doc_id", F.translate(sq.translate_dna(F.col("seq")), "*", "").alias("p")).select("doc_id", F.round(sq.protein_mass(F.col("p")), 4).alias("mass"), sq.extinction_coefficient(F.col("p")).alias("extinction"), F.round(sq.gravy(F.col("p")), 6).alias("gravy"), F.round(sq.aliphatic_index(F.col("p")), 6).alias("aliphatic"))
 ORACLE_SQL["protparam"] = duck(f"SELECT doc_id, round({mass} + 18.01524, 4) AS mass, 1490 * ({n_of('Y', 'p')}) + 5500 * ({n_of('W', 'p')}) + 125 * ({n_of('C', 'p')}) AS extinction, round(CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE ({kd}) / len(p) END, 6) AS gravy, round(CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE 100.0 * (({n_of('A', 'p')}) + 2.9::DOUBLE * ({n_of('V', 'p')}) + 3.9::DOUBLE * ({n_of('IL', 'p')})) / len(p) END, 6) AS aliphatic FROM ({PRO})")
 rows("compact_variants", lambda v: v.select("id", sq.encode_chromosome(F.col("chrom")).alias("chrom"), "pos", sq.encode_identifier(F.col("id")).alias("code"), sq.encode_base(F.col("ref")).alias("ref"), sq.encode_base(F.col("alt")).alias("alt"), F.col("qual").isNotNull().alias("has_qual")), "SELECT id, CAST(replace(chrom, 'chr', '') AS INT) AS chrom, pos, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(id, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS code, instr('ACGTN', ref) AS ref, instr('ACGTN', alt) AS alt, qual IS NOT NULL AS has_qual FROM variants", "variants")
-READS = "SELECT doc_id, substring(seq, 1, 60) AS seq, substring(translate(substring(seq, 1, 60), 'ACGT', 'I5+#'), 1, 60) AS qual FROM dna"
+READS = "SELECT doc_id, seq, translate(seq, 'ACGT', 'I5+#') AS qual FROM dna"
 
 
 def scores():

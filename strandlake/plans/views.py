@@ -17,6 +17,8 @@ VIEWS = {
     "genes": "SELECT 'chr' || CAST(p_partkey % 22 + 1 AS STRING) AS chrom, p_partkey * 10 AS start, p_partkey * 10 + p_size * 5 AS stop, p_name || '-' || CAST(p_partkey AS STRING) AS name, p_partkey AS gene_id, CASE p_size % 2 WHEN 0 THEN '+' ELSE '-' END AS strand, p_type AS kind FROM part",
     "variants": "SELECT 'chr' || CAST(user_id % 22 + 1 AS STRING) AS chrom, event_id % 20000 + 1 AS pos, 'rs' || CAST(event_id AS STRING) AS id, substring('ACGT', CAST(event_id % 4 + 1 AS INT), 1) AS ref, substring('ACGT', CAST((event_id % 4 + 1 + CAST(floor(event_id / 4) AS BIGINT) % 3) % 4 + 1 AS INT), 1) AS alt, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS qual, event_id, user_id, event_type FROM events",
     "dna": "SELECT doc_id, {letters_only} AS seq FROM documents",
+    # All whole rows of 60 letters that sequences are cut into: reads of equal length, or rows of an alignment
+    "pieces": "SELECT doc_id * 1000000 + i AS doc_id, substring(seq, 60 * i + 1, 60) AS seq FROM (SELECT doc_id, seq, {sixties} AS i FROM dna WHERE length(seq) >= 60)",
     "counts": "SELECT p_brand AS gene, n_name AS sample, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS count FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY p_brand, n_name",
     "clonotypes": "SELECT user_id AS clone, event_type AS sample, CAST(floor((extract(day FROM ts) - 1) / 7) AS BIGINT) AS timepoint, value FROM events",
     "survival": "SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 500 + 1 AS time, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS status, c_mktsegment AS grp FROM orders JOIN customer ON o_custkey = c_custkey",
@@ -30,6 +32,11 @@ VIEWS = {
 LETTERS = {"spark": "regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '')", "duckdb": "regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')"}
 
 
+SIXTIES = {"spark": "explode(sequence(0, CAST(floor(length(seq) / 60) AS INT) - 1))", "duckdb": "unnest(range(0, CAST(floor(length(seq) / 60) AS BIGINT)))"}
+#: A scan of fewer bytes a core than this is dealt out before texts are worked on: a small file may be one row group.
+SMALL_SCAN = 32 << 20
+
+
 def _needed(sql: str) -> list[str]:
     """Views that a SELECT uses, directly or not, each behind those it uses itself."""
     out: list[str] = []
@@ -49,7 +56,17 @@ def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = [t for t in TABLES if re.search(rf"\b{t}\b", whole)]
     for t in used:
         whole = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", whole, flags=re.I)
-    return spark.sql(whole, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(whole, **{t: _table(spark, sf_dir, t) for t in used})
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; texts of a small one are dealt out to all cores, a large one has partitions enough."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name != "documents":
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL_SCAN
+    return df.select("doc_id", "text").repartition(cores) if small and cores > 1 else df
 
 
 def with_views(sql: str, engine: str) -> str:
@@ -57,7 +74,7 @@ def with_views(sql: str, engine: str) -> str:
     needed = _needed(sql)
     if not needed:
         return sql
-    heads = ", ".join(f"{n} AS ({VIEWS[n].replace('{letters_only}', LETTERS[engine])})" for n in needed)
+    heads = ", ".join(f"{n} AS ({VIEWS[n].replace('{letters_only}', LETTERS[engine]).replace('{sixties}', SIXTIES[engine])})" for n in needed)
     body = sql.lstrip()
     if body[:5].upper() == "WITH ":
         return f"WITH {heads}, {body[5:]}"
