@@ -245,3 +245,65 @@ def encode_base(base: Column) -> Column:
 def encode_identifier(identifier: Column) -> Column:
     """FNV-1a, 32 bits, over the identifier's characters."""
     return F.aggregate(F.split(identifier, ""), F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619).cast("long"), F.lit(4294967296).cast("long")))
+
+
+# --- charge, weight, primers -----------------------------------------------------------------------------------------
+
+# Dissociation constants of side chains and ends, weights of nucleotides in a strand.
+PK_POSITIVE = {"H": 6.04, "K": 10.54, "R": 12.48}
+PK_NEGATIVE = {"D": 3.9, "E": 4.07, "C": 8.18, "Y": 10.46}
+PK_FIRST, PK_LAST = 8.2, 3.65
+NUCLEOTIDE_WEIGHT = {"A": 313.21, "C": 289.18, "G": 329.21, "T": 304.2}
+
+
+def charge(counts: dict[str, Column], ph: Column) -> Column:
+    """Net charge of a protein with these counts of charged residues."""
+    up = lambda n, pk: n / (1 + F.pow(F.lit(10.0), ph - pk))
+    down = lambda n, pk: n / (1 + F.pow(F.lit(10.0), pk - ph))
+    total = up(F.lit(1.0), PK_FIRST) - down(F.lit(1.0), PK_LAST)
+    for letter, pk in PK_POSITIVE.items():
+        total = total + up(counts[letter], pk)
+    for letter, pk in PK_NEGATIVE.items():
+        total = total - down(counts[letter], pk)
+    return total
+
+
+def isoelectric_point(protein: Column, steps: int = 20) -> Column:
+    """The pH at which the net charge is zero, by halving 0 to 14 so many times."""
+    counts = F.struct(*[count_of(F.upper(protein), a).cast("double").alias(a) for a in (*PK_POSITIVE, *PK_NEGATIVE)])
+
+    def halve(state: Column, _: Column) -> Column:
+        mid = (state["lo"] + state["hi"]) / 2
+        positive = charge({a: state["n"][a] for a in (*PK_POSITIVE, *PK_NEGATIVE)}, mid) > 0
+        return F.struct(F.when(positive, mid).otherwise(state["lo"]).alias("lo"), F.when(positive, state["hi"]).otherwise(mid).alias("hi"), state["n"].alias("n"))
+
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(14.0).alias("hi"), counts.alias("n"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+
+
+def instability_index(proteins: DataFrame, weights: DataFrame, key: str, protein: str) -> DataFrame:
+    """Ten times the mean weight of neighbouring residues; weights (pair, weight) is the scale's table, at most 400 rows."""
+    pairs = kmers(proteins.select(key, protein), protein, 2).join(F.broadcast(weights.select(F.col("pair").alias("kmer"), "weight")), "kmer")
+    total = pairs.groupBy(key).agg(F.sum("weight").alias("_w"))
+    return proteins.where(F.length(protein) >= 2).join(total, key, "left").select(key, (10.0 / F.length(protein) * F.coalesce("_w", F.lit(0.0))).alias("instability"))
+
+
+def dna_weight(seq: Column) -> Column:
+    """Of a single strand with a free 5' phosphate group left off."""
+    return F.when(F.char_length(seq) == 0, F.lit(0.0)).otherwise(weighted_sum(seq, NUCLEOTIDE_WEIGHT) - F.lit(61.96))
+
+
+def primer_dimer(a: Column, b: Column, overlap: int = 4) -> Column:
+    """Whether the last bases of one primer pair with a place in the other."""
+    ends = lambda x, y: F.contains(reverse_complement(y), F.substring(x, -overlap, overlap))
+    return (F.char_length(a) >= overlap) & (F.char_length(b) >= overlap) & (ends(a, b) | ends(b, a))
+
+
+def pcr_products(df: DataFrame, seq: str, forward: str, reverse: str, longest: int = 3000) -> DataFrame:
+    """(columns of df without seq, start, stop, size): from each place of the forward primer to each later one of the reverse primer's complement."""
+    back = "".join(dict(zip(IUPAC, COMPLEMENT))[c] for c in reversed(reverse))
+    keep = [c for c in df.columns if c != seq]
+    left = find_sites(df, seq, forward, len(forward)).select(*keep, F.col("pos").alias("start"))
+    right = find_sites(df, seq, back, len(back)).select(*keep, (F.col("pos") + len(back) - 1).alias("stop"))
+    found = left.join(right, keep).withColumn("size", F.col("stop") - F.col("start") + 1)
+    return found.where((F.col("size") >= len(forward) + len(back)) & (F.col("size") <= longest))

@@ -90,7 +90,7 @@ kd = "+".join(f"({w})::DOUBLE * ({n_of(a, 'p')})" for a, w in sq.HYDROPATHY.item
 QUERIES["protparam"] = lambda s, d: view(s, d, "dna").select("doc_id", F.translate(sq.translate_dna(F.col("seq")), "*", "").alias("p")).select("doc_id", F.round(sq.protein_mass(F.col("p")), 4).alias("mass"), sq.extinction_coefficient(F.col("p")).alias("extinction"), F.round(sq.gravy(F.col("p")), 6).alias("gravy"), F.round(sq.aliphatic_index(F.col("p")), 6).alias("aliphatic"))
 ORACLE_SQL["protparam"] = duck(f"SELECT doc_id, round({mass} + 18.01524, 4) AS mass, 1490 * ({n_of('Y', 'p')}) + 5500 * ({n_of('W', 'p')}) + 125 * ({n_of('C', 'p')}) AS extinction, round(CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE ({kd}) / len(p) END, 6) AS gravy, round(CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE 100.0 * (({n_of('A', 'p')}) + 2.9::DOUBLE * ({n_of('V', 'p')}) + 3.9::DOUBLE * ({n_of('IL', 'p')})) / len(p) END, 6) AS aliphatic FROM ({PRO})")
 rows("compact_variants", lambda v: v.select("id", sq.encode_chromosome(F.col("chrom")).alias("chrom"), "pos", sq.encode_identifier(F.col("id")).alias("code"), sq.encode_base(F.col("ref")).alias("ref"), sq.encode_base(F.col("alt")).alias("alt"), F.col("qual").isNotNull().alias("has_qual")), "SELECT id, CAST(replace(chrom, 'chr', '') AS INT) AS chrom, pos, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(id, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS code, instr('ACGTN', ref) AS ref, instr('ACGTN', alt) AS alt, qual IS NOT NULL AS has_qual FROM variants", "variants")
-READS = "SELECT doc_id, seq, translate(seq, 'ACGT', 'I5+#') AS qual FROM dna"
+READS = "SELECT doc_id, seq, translate(seq, 'ACGT', 'I5+#') AS qual FROM reads"
 
 
 def scores():

@@ -17,8 +17,9 @@ VIEWS = {
     "genes": "SELECT 'chr' || CAST(p_partkey % 22 + 1 AS STRING) AS chrom, p_partkey * 10 AS start, p_partkey * 10 + p_size * 5 AS stop, p_name || '-' || CAST(p_partkey AS STRING) AS name, p_partkey AS gene_id, CASE p_size % 2 WHEN 0 THEN '+' ELSE '-' END AS strand, p_type AS kind FROM part",
     "variants": "SELECT 'chr' || CAST(user_id % 22 + 1 AS STRING) AS chrom, event_id % 20000 + 1 AS pos, 'rs' || CAST(event_id AS STRING) AS id, substring('ACGT', CAST(event_id % 4 + 1 AS INT), 1) AS ref, substring('ACGT', CAST((event_id % 4 + 1 + CAST(floor(event_id / 4) AS BIGINT) % 3) % 4 + 1 AS INT), 1) AS alt, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS qual, event_id, user_id, event_type FROM events",
     "dna": "SELECT doc_id, {letters_only} AS seq FROM documents",
-    # All whole rows of 60 letters that sequences are cut into: reads of equal length, or rows of an alignment
-    "pieces": "SELECT doc_id * 1000000 + i AS doc_id, substring(seq, 60 * i + 1, 60) AS seq FROM (SELECT doc_id, seq, {sixties} AS i FROM dna WHERE length(seq) >= 60)",
+    # Reads of 60 letters that whole sequences are cut into, the last of each as long as it is; pieces are rows of an alignment
+    "reads": "SELECT doc_id * 1000000 + i AS doc_id, substring(seq, 60 * i + 1, 60) AS seq FROM (SELECT doc_id, seq, {sixties} AS i FROM dna WHERE length(seq) > 0)",
+    "pieces": "SELECT doc_id, seq FROM reads WHERE length(seq) = 60",
     "counts": "SELECT p_brand AS gene, n_name AS sample, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS count FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY p_brand, n_name",
     "clonotypes": "SELECT user_id AS clone, event_type AS sample, CAST(floor((extract(day FROM ts) - 1) / 7) AS BIGINT) AS timepoint, value FROM events",
     "survival": "SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 500 + 1 AS time, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS status, c_mktsegment AS grp FROM orders JOIN customer ON o_custkey = c_custkey",
@@ -32,7 +33,7 @@ VIEWS = {
 LETTERS = {"spark": "regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '')", "duckdb": "regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')"}
 
 
-SIXTIES = {"spark": "explode(sequence(0, CAST(floor(length(seq) / 60) AS INT) - 1))", "duckdb": "unnest(range(0, CAST(floor(length(seq) / 60) AS BIGINT)))"}
+SIXTIES = {"spark": "explode(sequence(0, CAST(floor((length(seq) - 1) / 60) AS INT)))", "duckdb": "unnest(range(0, CAST(floor((length(seq) - 1) / 60) AS BIGINT) + 1))"}
 #: A scan of fewer bytes a core than this is dealt out before texts are worked on: a small file may be one row group.
 SMALL_SCAN = 32 << 20
 
