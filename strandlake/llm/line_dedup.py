@@ -247,7 +247,7 @@ def _meetings(lines: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[who]), pa.array(filed)], ["key", "h", "filed"])
 
     keyed = lines.mapInArrow(emit, "key long, h long, filed boolean").select("key", F.lit(0).cast("long").alias("parent"), "h", "filed")
-    return scratch.save(_met(keyed).select("key", "h", "filed").distinct(), "meetings")
+    return scratch.save(_met(keyed).groupBy("key", "h").agg(F.bool_or("filed").alias("filed")), "meetings")
 
 
 def _split(rows: DataFrame, threshold: int, scratch: Scratch, level: int) -> DataFrame:
@@ -260,8 +260,9 @@ def _split(rows: DataFrame, threshold: int, scratch: Scratch, level: int) -> Dat
             key, parent, node = (b.column(k).to_numpy() for k in ("key", "parent", "node"))
             who, found, _, at, size = keys_of(rests, threshold)
             hit = np.flatnonzero(under(parent[who], found) == key[who])
-            left = [rests[w][:a] + rests[w][a + n :] for w, a, n in zip(who[hit].tolist(), at[hit].tolist(), size[hit].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[who[hit]]), pa.array(node[who[hit]]), pa.array(left, pa.string())], ["parent", "node", "rest"])
+            left = sorted({(w, rests[w][:a] + rests[w][a + n :]) for w, a, n in zip(who[hit].tolist(), at[hit].tolist(), size[hit].tolist(), strict=True)})
+            row = np.array([w for w, _ in left], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(node[row]), pa.array([x for _, x in left], pa.string())], ["parent", "node", "rest"])
 
     def emit(batches):
         for b in batches:
@@ -269,10 +270,10 @@ def _split(rows: DataFrame, threshold: int, scratch: Scratch, level: int) -> Dat
             who, key, filed, _, _ = keys_of(b.column("rest").to_pylist(), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(under(parent[who], key)), pa.array(parent[who]), pa.array(node[who]), pa.array(filed)], ["key", "parent", "h", "filed"])
 
-    cut = scratch.save(rows.mapInArrow(strip, "parent long, node long, rest string").distinct(), f"cut_{level}")
-    met = _met(cut.mapInArrow(emit, "key long, parent long, h long, filed boolean")).withColumnRenamed("h", "node").distinct()
+    cut = scratch.save(rows.select("key", "parent", "node", "rest").mapInArrow(strip, "parent long, node long, rest string"), f"cut_{level}")
+    met = _met(cut.mapInArrow(emit, "key long, parent long, h long, filed boolean")).groupBy("key", "parent", F.col("h").alias("node")).agg(F.bool_or("filed").alias("filed"))
     # A node with several rests under one parent gets all of them under the key: more candidates, never fewer.
-    return met.join(cut, ["parent", "node"]).select("key", "parent", "node", "filed", "rest").distinct()
+    return met.join(cut, ["parent", "node"]).select("key", "parent", "node", "filed", "rest")
 
 
 def _perhaps(lines: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
