@@ -13,8 +13,6 @@ window of a block is not emitted; its ids open the next block.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -47,32 +45,41 @@ def cut_candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarr
 def best_cuts(at: np.ndarray, penalty: np.ndarray, seq_len: int, window_cost: float = WINDOW_COST) -> list[int]:
     """Positions of the cuts of the cheapest sequence of windows from the first candidate to the last, both included."""
     n = len(at)
-    even: dict[int, list[int]] = {}
-    size = 1
-    while size < seq_len:
-        i = np.searchsorted(at, at - size)
-        hit = np.flatnonzero((at[np.minimum(i, n - 1)] == at - size) & (at >= size))
-        for j, k in zip(hit.tolist(), i[hit].tolist(), strict=True):
-            even.setdefault(j, []).append(k)
-        size *= 2
-    p, pen = at.tolist(), penalty.tolist()
+    place = np.full(int(at[-1]) + 1, -1)
+    place[at] = np.arange(n)
+    js, ks = [], []  # candidates j and those k that lie a power of two before them
+    for size in (1 << e for e in range((seq_len - 1).bit_length())):
+        k = place[np.maximum(at - size, 0)]
+        hit = np.flatnonzero((k >= 0) & (at >= size))
+        js.append(hit)
+        ks.append(k[hit])
+    j_of = np.concatenate(js) if js else np.empty(0, np.int64)
+    even = np.concatenate(ks)[np.argsort(j_of, kind="stable")].tolist() if js else []
+    upto = np.cumsum(np.bincount(j_of, minlength=n)).tolist()
+    p, pen = at.tolist(), (penalty + (window_cost + seq_len)).tolist()
     best, back = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int]] = deque([(float(p[0]), 0)])
+    # The queue: keys ascend, and so do the candidates they belong to; its front is at head.
+    keys, owners, head, seen = [float(p[0])], [0], 0, 0
     for j in range(1, n):
         pj = p[j]
-        while pj - p[queue[0][1]] > seq_len:
-            queue.popleft()
-        least, came = queue[0]
-        least += seq_len - pj
-        for i in even.get(j, ()):
-            if best[i] < least:
-                least, came = best[i], i
-        best[j] = least = least + pen[j] + window_cost
+        while pj - p[owners[head]] > seq_len:
+            head += 1
+        came = owners[head]
+        least = keys[head] - pj
+        end = upto[j]
+        if end > seen:
+            for i in even[seen:end]:
+                if best[i] - seq_len < least:
+                    least, came = best[i] - seq_len, i
+            seen = end
+        best[j] = least = least + pen[j]
         back[j] = came
         key = least + pj
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            owners.pop()
+        keys.append(key)
+        owners.append(j)
     cuts, j = [n - 1], n - 1
     while j:
         j = back[j]
