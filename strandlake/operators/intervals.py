@@ -6,10 +6,10 @@ and closed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.running import running
+from strandlake.operators.running import neighbour, running
 
 #: Width of the bins in which a range join looks for partners: about the length of a typical interval.
 JOIN_BIN = 256
@@ -89,9 +89,10 @@ def merge_intervals(df: DataFrame) -> DataFrame:
 
 def run_length(df: DataFrame, by: tuple[str, ...], position: str, value: str) -> DataFrame:
     """Runs of equal neighbouring values at consecutive positions: by, start, stop (half-open), value. For signal sinks."""
-    w = Window.partitionBy(*by).orderBy(position)
-    same = (F.lag(position).over(w) == F.col(position) - 1) & (F.lag(value).over(w).eqNullSafe(F.col(value)))
-    rows = df.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = neighbour(df, list(by), position, [position], F.struct(F.col(position).alias("at"), F.col(value).alias("is")), "_before", ahead=False)
+    same = (F.col("_before.at") == F.col(position) - 1) & F.col("_before.is").eqNullSafe(F.col(value))
+    rows = rows.withColumn("_new", F.when(same, 0).otherwise(1)).drop("_before")
+    rows = running(rows, list(by), position, [position], F.col("_new"), "sum", "_run")
     return rows.groupBy(*by, "_run", value).agg(F.min(position).alias("start"), (F.max(position) + 1).alias("stop")).drop("_run")
 
 
@@ -151,15 +152,15 @@ def coverage(df: DataFrame) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("lo").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("e")
     events = df.select("chrom", ends).groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
     rows = running(events, ["chrom"], "pos", ["pos"], F.col("d"), "sum", "depth")
-    rows = rows.withColumn("hi", F.lead("pos").over(Window.partitionBy("chrom").orderBy("pos")) - 1)
+    rows = neighbour(rows, ["chrom"], "pos", ["pos"], F.col("pos") - 1, "hi", ahead=True)
     return rows.where("depth > 0").select("chrom", F.col("pos").alias("lo"), "hi", "depth")
 
 
 def gaps(df: DataFrame, lengths: DataFrame) -> DataFrame:
     """What no interval covers of [1, length] of each chromosome; chromosomes without intervals are one gap."""
     spans = reduce(df).select("chrom", "lo", "hi").unionByName(lengths.select("chrom", (F.col("length") + 1).alias("lo"), (F.col("length") + 1).alias("hi")))
-    before = F.lag("hi").over(Window.partitionBy("chrom").orderBy("lo", "hi"))
-    rows = spans.select("chrom", (F.coalesce(before, F.lit(0)) + 1).alias("_lo"), (F.col("lo") - 1).alias("_hi"))
+    spans = neighbour(spans, ["chrom"], "lo", ["lo", "hi"], F.col("hi"), "_before", ahead=False)
+    rows = spans.select("chrom", (F.coalesce("_before", F.lit(0)) + 1).alias("_lo"), (F.col("lo") - 1).alias("_hi"))
     rows = rows.join(lengths, "chrom").select("chrom", F.col("_lo").alias("lo"), F.least("_hi", "length").alias("hi"))
     return rows.where("lo <= hi")
 
@@ -167,7 +168,7 @@ def gaps(df: DataFrame, lengths: DataFrame) -> DataFrame:
 def disjoin(df: DataFrame) -> DataFrame:
     """The pieces that all ends cut the covered stretches into."""
     cuts = df.select("chrom", F.explode(F.array("lo", F.col("hi") + 1)).alias("lo")).distinct()
-    pieces = cuts.withColumn("hi", F.lead("lo").over(Window.partitionBy("chrom").orderBy("lo")) - 1).where("hi is not null")
+    pieces = neighbour(cuts, ["chrom"], "lo", ["lo"], F.col("lo") - 1, "hi", ahead=True).where("hi is not null")
     spans = reduce(df).select("chrom", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     return range_join(pieces, spans, ("lo", "hi"), ("_lo", "_hi")).select("chrom", "lo", "hi")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators import genetics
 from strandlake.operators.intervals import range_join
 from strandlake.operators.repertoire import share
+from strandlake.operators.running import neighbour
 
 
 def best_peak(fragments: DataFrame, peaks: DataFrame, key: str) -> DataFrame:
@@ -72,8 +73,9 @@ def insulation(contacts: DataFrame, width: int, n_bins: int) -> DataFrame:
 
 def boundaries(scores: DataFrame, by: list[str], place: str, value: str) -> DataFrame:
     """Local minima."""
-    w = Window.partitionBy(*by).orderBy(place)
-    return scores.withColumns({"_l": F.lag(value).over(w), "_r": F.lead(value).over(w)}).where((F.col(value) <= F.col("_l")) & (F.col(value) <= F.col("_r"))).drop("_l", "_r")
+    sides = neighbour(scores, by, place, [place], F.col(value), "_l", ahead=False)
+    sides = neighbour(sides, by, place, [place], F.col(value), "_r", ahead=True)
+    return sides.where((F.col(value) <= F.col("_l")) & (F.col(value) <= F.col("_r"))).drop("_l", "_r")
 
 
 def balance(contacts: DataFrame, scratch_write, rounds: int = 10) -> DataFrame:
