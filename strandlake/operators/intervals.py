@@ -177,7 +177,8 @@ def range_join(a: DataFrame, b: DataFrame, ends_a: tuple[str, str] = ("lo", "hi"
     """Rows of a and b on one chromosome that overlap. Columns of the two must differ but for chrom.
 
     Both sides are filed under each bin that they reach and meet by (chrom, bin); a pair comes out in one bin only, that
-    of the later of its two starts, so nothing has to be made distinct. 'left' keeps rows of a without partner.
+    of the later of its two starts, so nothing has to be made distinct. 'left' keeps rows of a without partner,
+    those with a null in chrom or an end among them; nulls in other columns are values like any other.
     """
     (al, ah), (bl, bh) = ends_a, ends_b
     last = 0 if closed else 1
@@ -190,9 +191,10 @@ def range_join(a: DataFrame, b: DataFrame, ends_a: tuple[str, str] = ("lo", "hi"
     once = F.col("_bin") == F.floor(F.greatest(al, bl) / width)
     if how == "inner":
         return filed(a, al, ah).join(filed(b, bl, bh), ["chrom", "_bin"]).where(meet & once).drop("_bin")
-    keyed = a.withColumn("_row", F.xxhash64(*a.columns))
     pairs = range_join(a, b, ends_a, ends_b, closed, "inner", width)
-    alone = keyed.drop("_row").join(pairs.select(*a.columns).distinct(), list(a.columns), "left_anti")
+    whole = F.struct(*a.columns)
+    met = pairs.select(whole.alias("_met")).distinct()
+    alone = a.withColumn("_row", whole).join(met, F.col("_row").eqNullSafe(F.col("_met")), "left_anti").drop("_row")
     return pairs.unionByName(alone, allowMissingColumns=True)
 
 

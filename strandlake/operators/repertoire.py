@@ -81,6 +81,35 @@ def pair_distance(a: Column, b: Column, mismatch: float = 1.0, gap: float = 1.5)
     return bad * F.lit(mismatch) + F.abs(F.length(a) - F.length(b)) * F.lit(gap)
 
 
+def pairs_within(df: DataFrame, column: str, limit: float, mismatch: float = 1.0, gap: float = 1.5) -> DataFrame:
+    """All pairs (a, b, d), a < b, of different upper-cased sequences with a pair_distance of at most limit; null sequences have none.
+
+    Within the limit lie at most `bad` mismatches, so of bad + 2 segments of the common length two agree, and two sequences
+    meet by that length and those segments. A pair comes out under the first two segments that agree, so nothing has to be
+    made distinct. Common lengths shorter than that meet as a whole. A limit beyond all distances gives the whole matrix.
+    """
+    if limit < 0 or mismatch <= 0 or gap <= 0:
+        raise ValueError("limit must not be negative, penalties must be positive")
+    bad, more = int(limit / mismatch + 1e-9), int(limit / gap + 1e-9)
+    parts = F.sequence(F.lit(0), F.lit(bad + 1))
+
+    def part(s: str, i: Column) -> Column:
+        at = F.floor(i * F.col("_n") / (bad + 2)).cast("int")
+        return F.substring(F.col(s), at + 1, F.floor((i + 1) * F.col("_n") / (bad + 2)).cast("int") - at)
+
+    def keyed(s: str) -> DataFrame:
+        size = F.length(s)
+        rows = df.select(F.upper(column).alias(s)).where(F.col(s).isNotNull()).distinct().withColumn("_n", F.explode(F.sequence(F.greatest(size - more, F.lit(0)), size)))
+        two = F.flatten(F.transform(parts, lambda i: F.transform(F.filter(parts, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j"), part(s, i).alias("x"), part(s, j).alias("y")))))
+        whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit("").alias("x"), F.lit("").alias("y")))
+        return rows.withColumn("_k", F.explode(F.when(F.col("_n") < bad + 2, whole).otherwise(two))).select(s, "_n", "_k.*")
+
+    alike = F.slice(F.filter(parts, lambda i: part("a", i) == part("b", i)), 1, 2)
+    once = (F.col("_n") < bad + 2) | (alike == F.array("i", "j"))
+    met = keyed("a").join(keyed("b"), ["_n", "i", "j", "x", "y"]).where((F.col("a") < F.col("b")) & (F.least(F.length("a"), F.length("b")) == F.col("_n")) & once)
+    return met.select("a", "b", pair_distance(F.col("a"), F.col("b"), mismatch, gap).alias("d")).where(F.col("d") <= limit)
+
+
 # --- somatic ---------------------------------------------------------------------------------------------------------
 
 

@@ -31,7 +31,7 @@ one("clonal_expansion", "clonotypes", lambda d: rp.two_by_two(d, "clone", F.col(
 one("clonotype_trajectory", "clonotypes", lambda d: rp.trajectory(d, "clone", "timepoint", [0, 1, 2, 3, 4]).select("clone", *[r(f"freq_{t}") for t in range(5)], r("delta"), "expansion_class"), "WITH n AS (SELECT timepoint, clone, count(*) / sum(count(*)) OVER (PARTITION BY timepoint) AS f FROM clonotypes GROUP BY 1, 2), w AS (SELECT clone, " + ", ".join(f"coalesce(max(f) FILTER (timepoint = {t}), 0) AS freq_{t}" for t in range(5)) + " FROM n GROUP BY clone) SELECT clone, " + ", ".join(f"round(freq_{t}, 9) AS freq_{t}" for t in range(5)) + ", round(freq_4 - freq_0, 9) AS delta, CASE WHEN freq_4 - freq_0 > 0.01 THEN 'expanding' WHEN freq_4 - freq_0 < -0.01 THEN 'contracting' ELSE 'stable' END AS expansion_class FROM w WHERE greatest(freq_0, freq_1, freq_2, freq_3, freq_4) >= 0.001")
 one("clone_sample_pivot", "clonotypes", lambda d: d.groupBy("clone").pivot("timepoint", [0, 1, 2, 3]).agg(F.count(F.lit(1))).na.fill(0).toDF("clone", "t0", "t1", "t2", "t3"), "SELECT clone, " + ", ".join(f"CAST(count_if(timepoint = {t}) AS BIGINT) AS t{t}" for t in range(4)) + " FROM clonotypes GROUP BY clone")
 PEPTIDES = "SELECT DISTINCT upper(replace(p_brand || p_type, ' ', '')) AS s FROM part"
-one("cdr3_distance", PEPTIDES, lambda d: d.select(F.col("s").alias("a"), F.substring("s", 1, 8).alias("k")).join(d.select(F.col("s").alias("b"), F.substring("s", 1, 8).alias("k")), "k").where("a < b").select("a", "b", rp.pair_distance(F.col("a"), F.col("b")).alias("d")), "SELECT a.s AS a, b.s AS b, hamming(substr(a.s, 1, least(len(a.s), len(b.s))), substr(b.s, 1, least(len(a.s), len(b.s)))) + 1.5::DOUBLE * abs(len(a.s) - len(b.s)) AS d FROM @ a JOIN @ b ON substr(a.s, 1, 8) = substr(b.s, 1, 8) AND a.s < b.s")
+one("cdr3_distance", PEPTIDES, lambda d: rp.pairs_within(d, "s", 6), "SELECT a, b, d FROM (SELECT a.s AS a, b.s AS b, hamming(substr(a.s, 1, least(len(a.s), len(b.s))), substr(b.s, 1, least(len(a.s), len(b.s)))) + 1.5::DOUBLE * abs(len(a.s) - len(b.s)) AS d FROM @ a JOIN @ b ON a.s < b.s) WHERE d <= 6")
 CDR = "SELECT doc_id, 'C' || substring(seq, 1, 30) || 'TF' AS s FROM dna"
 one("cdr3_length_spectrum", CDR, lambda d: d.select(F.length(rp.extract_cdr3(F.col("s"))).alias("len")).groupBy("len").agg(F.count(F.lit(1)).alias("n")), f"SELECT len(nullif(regexp_extract(s, '{rp.CDR3}'), '')) AS len, count(*) AS n FROM @ GROUP BY 1")
 BURDEN = "SELECT user_id AS sample, CASE event_id % 5 WHEN 0 THEN 'missense_variant' WHEN 1 THEN 'stop_gained' WHEN 2 THEN 'synonymous_variant' WHEN 3 THEN 'frameshift_variant' ELSE 'intron_variant' END AS consequence, chrom AS gene, pos % 50 AS position, ref, alt, id, qual FROM variants"
