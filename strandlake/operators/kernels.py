@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -153,26 +153,38 @@ def superpose(moving: np.ndarray, fixed: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, ((a**2).sum() + (b**2).sum() - 2 * s.sum()) / len(a))))
 
 
-def k_nearest(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 2048) -> DataFrame:
-    """The k nearest points of each query (Euclidean), exactly: each block of points gives k candidates a query, then the best k of all stay.
+def k_nearest(points: DataFrame, queries: DataFrame, key: str, vector: str, k: int, rows: int = 16384) -> DataFrame:
+    """The k nearest other points of each query (Euclidean), exactly; of equal distances the smaller key is nearer.
 
-    The queries are a stated set of bounded size, sent to every task; the points stay where they are.
+    Points and queries are dealt into tiles of about `rows`, and each tile of points meets each tile of queries in one
+    group; its k best candidates a query go on, and the best k of all stay. So neither side has to fit a task or the
+    driver; the work stays points times queries. Rows with a null key or vector take no part.
     """
-    chosen = queries.select(key, vector).toPandas()
-    q_ids, q = chosen[key].to_numpy(), np.stack(chosen[vector].map(np.asarray)).astype(np.float64)
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    known = [df.select(F.col(key).alias("_id"), F.col(vector).alias("_v")).where(F.col("_id").isNotNull() & F.col("_v").isNotNull()) for df in (points, queries)]
+    width = points.sparkSession.sparkContext.defaultParallelism
+    n_p, n_q = max(-(-known[0].count() // rows), width), max(-(-known[1].count() // rows), 1)
     kind = points.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ids, p = f[key].to_numpy(), np.stack(f[vector].map(np.asarray)).astype(np.float64)
-            for at in range(0, len(q), block):
-                part = q[at : at + block]
-                d = ((part[:, None, :] - p[None, :, :]) ** 2).sum(2)
-                d[q_ids[at : at + block, None] == ids[None, :]] = np.inf
-                m = min(k, d.shape[1])
-                best = np.argpartition(d, m - 1, axis=1)[:, :m]
-                yield pd.DataFrame({"query": np.repeat(q_ids[at : at + block], m), "point": ids[best].reshape(-1), "distance": np.sqrt(np.take_along_axis(d, best, 1)).reshape(-1)})
-
-    found = points.select(key, vector).mapInPandas(run, f"query {kind}, point {kind}, distance double").where(F.col("distance") < float("inf"))
-    top = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "point"))), 1, k).alias("n"))
-    return top.select("query", F.posexplode("n").alias("rank", "x")).select("query", (F.col("rank") + 1).alias("rank"), F.col("x.point").alias("point"), F.col("x.distance").alias("distance"))
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("_id", "_v"), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
+
+    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(p) and len(q):
+            p = p.sort_values("_id")
+            ids, at = p["_id"].to_numpy(), np.stack(p["_v"].map(np.asarray)).astype(np.float64)
+            q_ids, q_at = q["_id"].to_numpy(), np.stack(q["_v"].map(np.asarray)).astype(np.float64)
+            step, m = max(1, 4_000_000 // max(1, at.size)), min(k, len(p))
+            for i in range(0, len(q), step):
+                d = ((q_at[i : i + step, None, :] - at[None, :, :]) ** 2).sum(2)
+                d[q_ids[i : i + step, None] == ids[None, :]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :m]
+                found.append(pd.DataFrame({"query": np.repeat(q_ids[i : i + step], m), "point": ids[best].reshape(-1), "distance": np.sqrt(np.take_along_axis(d, best, 1)).reshape(-1)}))
+        return pd.concat(found) if found else pd.DataFrame({"query": [], "point": [], "distance": []})
+
+    tiles = [dealt(known[0], "_p", n_p, "_q", n_q).groupBy("_p", "_q"), dealt(known[1], "_q", n_q, "_p", n_p).groupBy("_p", "_q")]
+    found = tiles[0].cogroup(tiles[1]).applyInPandas(run, f"query {kind}, point {kind}, distance double").where(F.col("distance") < float("inf"))
+    nearest = Window.partitionBy("query").orderBy("distance", "point")
+    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query", "rank", "point", "distance")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from strandlake.operators import intervals as iv
+from strandlake.operators import kernels
 from strandlake.operators import repertoire as rp
 
 
@@ -40,3 +41,21 @@ def test_left_range_join_with_nulls(spark):
     got = sorted((tuple(v) for v in iv.range_join(a, b, ("lo", "hi"), ("b_lo", "b_hi"), how="left").select("chrom", "lo", "hi", "note", "k").collect()), key=repr)
     want = [("c", 1, 5, None, 1), ("c", 1, 5, None, 1), ("c", 4, 600, "x", 1), ("c", 4, 600, "x", 2), ("c", 700, 710, None, None), (None, 1, 5, "n", None), ("c", None, 9, "m", None), ("d", 1, 2, "d", None)]
     assert got == sorted(want, key=repr)
+
+
+def test_k_nearest_equals_brute_force_for_any_tiling(spark):
+    r = random.Random(3)
+    rows = [(i, [float(r.randint(0, 3)) for _ in range(3)]) for i in range(60)] + [(100 + i, [1.0, 1.0, 1.0]) for i in range(20)]
+    df = spark.createDataFrame([*rows, (None, [0.0, 0.0, 0.0]), (500, None)], "id long, v array<double>")
+    ask = df.where("id % 5 = 0")
+    want = set()
+    for q, x in rows:
+        if q % 5 == 0:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5, p) for p, y in rows if p != q)[:4]
+            want |= {(q, i + 1, p, round(d, 9)) for i, (d, p) in enumerate(near)}
+    for tile in (7, 1000):
+        got = [(v.query, v.rank, v.point, round(v.distance, 9)) for v in kernels.k_nearest(df, ask, "id", "v", 4, tile).collect()]
+        assert len(got) == len(want) and set(got) == want
+    few = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, v array<double>")
+    assert [(v.query, v.point) for v in kernels.k_nearest(few, few.where("id = 1"), "id", "v", 5).collect()] == [(1, 2)]
+    assert kernels.k_nearest(few.limit(0), few, "id", "v", 2).count() == 0
