@@ -14,6 +14,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.scratch import Scratch
 
 
 @dataclass
@@ -83,10 +86,20 @@ class Graph:
 
 
 def closure(spark: SparkSession, edges: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
-    """All ancestors of each node and their least distance, by a recursive query; edges must have no cycles."""
-    return spark.sql(
-        f"""WITH RECURSIVE e AS (SELECT {node} AS node, {parent} AS parent FROM {{edges}} WHERE {parent} IS NOT NULL),
-        up(node, ancestor, depth) AS (SELECT node, parent, 1 FROM e UNION ALL SELECT up.node, e.parent, up.depth + 1 FROM up JOIN e ON up.ancestor = e.node)
-        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor""",
-        edges=edges,
-    )
+    """All ancestors of each node and their least distance; edges must have no cycles.
+
+    up holds the walks of 1 to n steps by their ends and length, jump those of just n; one join of both gives the walks of n + 1
+    to 2 n steps. So rounds grow with the logarithm of the depth, and a walk's ends come out once for each length. Each
+    round is written, as many rows as it may have.
+    """
+    scratch = Scratch(spark, "closure")
+    up = scratch.save(edges.where(F.col(parent).isNotNull() & F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct(), "up_1")
+    jump, n, most = up.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further")), 1, up.count()
+    while True:
+        longer = scratch.save(up.join(jump, "ancestor").select("node", F.col("further").alias("ancestor"), (F.col("depth") + n).alias("depth")).distinct(), f"up_{2 * n}")
+        if not longer.limit(1).count():
+            return up.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        if n > most:
+            raise ValueError("edges have a cycle")
+        twice = jump.join(jump.toDF("further", "last"), "further").select("ancestor", F.col("last").alias("further")).distinct()
+        up, jump, n = up.unionByName(longer), scratch.save(twice, f"jump_{2 * n}"), 2 * n
