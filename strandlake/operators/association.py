@@ -116,7 +116,7 @@ def mendelian_randomisation(df: DataFrame) -> DataFrame:
 
 
 def ld_scores(df: DataFrame, window: int) -> DataFrame:
-    """1 + the sum of r2 with all variants at most `window` apart."""
+    """1 + the sum of r2 with all variants at most `window` apart; NaN if one of these has no r2, as it doesn't vary over the samples both have."""
     r2 = genetics.linkage(df, window)
     both = r2.select(F.explode(F.array("a", "b")).alias("snp"), "r2").groupBy("snp").agg(F.sum("r2").alias("_s"))
     return df.select("snp").distinct().join(both, "snp", "left").select("snp", (1 + F.coalesce("_s", F.lit(0.0))).alias("ld_score"))

@@ -30,3 +30,13 @@ def test_closure_has_no_limit_of_rows_or_depth(spark):
     assert got == want
     with pytest.raises(ValueError, match="cycle"):
         dag.closure(spark, spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long"))
+
+
+def test_what_does_not_vary_has_no_correlation(spark):
+    # Variants 1 and 2 share samples over which 1 is constant; 9 has no neighbour.
+    rows = [(1, 1, 0), (2, 1, 0), (3, 1, 2), (1, 2, 0), (2, 2, 1), (3, 3, 1), (4, 3, 0), (1, 3, 2), (5, 9000, 1)]
+    df = spark.createDataFrame(rows, "sample long, snp long, dosage int")
+    r2 = {(x.a, x.b): x.r2 for x in genetics.linkage(df, 400).collect()}
+    assert math.isnan(r2[1, 2]) and r2[1, 3] == pytest.approx(1.0)
+    got = {x.snp: x.ld_score for x in association.ld_scores(df, 400).collect()}
+    assert math.isnan(got[1]) and math.isnan(got[2]) and got[9000] == 1.0
