@@ -75,16 +75,23 @@ def interval_difference(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def islands(df: DataFrame, low: str, high: str, slack: int, by: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Merged spans: rows join if low <= highest before + slack. Columns by, low, high, merged (rows in each)."""
-    rows = running(df.select(*by, low, high), list(by), low, [low, high], F.col(high), "max", "_before", before_only=True)
+    """Merged spans: rows join if low <= highest before + slack. Columns by, low, high, merged (rows in each).
+
+    Nulls come last, and a row without low is a span of its own. Of rows that are alike the one that begins a span comes first.
+    """
+    order = [F.col(low), F.col(high).asc_nulls_last()]
+    known = df.select(*by, low, high)
+    alone = known.where(F.col(low).isNull()).select(*by, low, high, F.lit(1).cast("long").alias("merged"))
+    rows = running(known.where(F.col(low).isNotNull()), list(by), low, order, F.col(high), "max", "_before", before_only=True)
     new = F.when(F.col("_before").isNull() | (F.col(low) > F.col("_before") + slack), 1).otherwise(0)
-    rows = running(rows.withColumn("_new", new), list(by), low, [low, high], F.col("_new"), "sum", "_island")
-    return rows.groupBy(*by, "_island").agg(F.min(low).alias(low), F.max(high).alias(high), F.count(F.lit(1)).alias("merged")).drop("_island")
+    rows = running(rows.withColumn("_new", new), list(by), low, [*order, F.col("_new").desc()], F.col("_new"), "sum", "_island")
+    rows = rows.groupBy(*by, "_island").agg(F.min(low).alias(low), F.max(high).alias(high), F.count(F.lit(1)).alias("merged")).drop("_island")
+    return rows.unionByName(alone)
 
 
 def merge_intervals(df: DataFrame) -> DataFrame:
-    """Half-open intervals; touching ones merge."""
-    return islands(df.where(F.col("stop") > F.col("start")), "start", "stop", 0).drop("merged")
+    """Half-open intervals; touching ones merge. Empty ones are kept where nothing covers or touches them."""
+    return islands(df, "start", "stop", 0).drop("merged")
 
 
 def run_length(df: DataFrame, by: tuple[str, ...], position: str, value: str) -> DataFrame:

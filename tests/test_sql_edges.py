@@ -40,3 +40,16 @@ def test_what_does_not_vary_has_no_correlation(spark):
     assert math.isnan(r2[1, 2]) and r2[1, 3] == pytest.approx(1.0)
     got = {x.snp: x.ld_score for x in association.ld_scores(df, 400).collect()}
     assert math.isnan(got[1]) and math.isnan(got[2]) and got[9000] == 1.0
+
+
+def test_merge_intervals_of_odd_rows(spark):
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(40)] * 3 + [r.randint(0, 300_000)]), r.choice([None, 0, 1, 3, -2])) for _ in range(300)]
+    rows = [(c, a, None if a is None or n is None else a + n) for c, a, n in rows] + [("a", 500, 510)] * 20 + [("a", 500, 500)] * 3 + [("b", None, 7)]
+    df = spark.createDataFrame(rows, "chrom string, start long, stop long").repartition(5)
+    con = duckdb.connect()
+    con.register("t", df.toArrow())
+    sql = merged("t", "start", "stop", 0)
+    assert difference(iv.merge_intervals(df), con, f"SELECT chrom, start, stop FROM ({sql})") is None
+    assert difference(iv.islands(df, "start", "stop", 0), con, sql) is None
