@@ -53,3 +53,10 @@ def test_merge_intervals_of_odd_rows(spark):
     sql = merged("t", "start", "stop", 0)
     assert difference(iv.merge_intervals(df), con, f"SELECT chrom, start, stop FROM ({sql})") is None
     assert difference(iv.islands(df, "start", "stop", 0), con, sql) is None
+
+
+def test_visit_summary_of_persons_without_records(spark):
+    person = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, "y"), (4, "y"), (None, "z")], "id long, place string")
+    records = spark.createDataFrame([(1, "O"), (1, "F"), (1, "F"), (3, None), (4, "O"), (2, "P"), (None, "O"), (9, "O")], "id long, kind string")
+    got = {tuple(r) for r in rp.visit_summary(person, records, "id", F.col("kind") == "O", F.col("kind") == "F").collect()}
+    assert got == {(1, "x", 1, 2), (2, "x", 0, 0), (3, None, None, None), (4, "y", 2, 0), (None, "z", None, None)}
