@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Scratch, lower_az, table, whole_text
+from strandlake.llm.common import Scratch, bounded_batches, lower_az, table, whole_text
 
 BLOCK_BYTES = 4096
 
@@ -42,6 +42,7 @@ def block_names(docs: DataFrame, text: str = "text", id_col: str = "doc_id", blo
     A null text counts as empty; an empty text is one empty block. Repeated rows each get a row. Columns of docs other
     than the two named are not read.
     """
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "block_names")
     norm = lower_az(whole_text(text)).cast("binary")
     source = docs.select(F.col(id_col), norm.alias("_b")).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.octet_length("_b") / F.lit(block_bytes))).cast("int"))
