@@ -5,20 +5,24 @@ that is never part of an article (boilerplate: navigation, headers, footers, asi
 id is a name of adverts, notices, comments and the like), or in neither (open). A class that holds such a name beside
 other words (social-impact, related-work) only hints.
 
-The token streams of a host's pages are searched for runs of at least MIN_TOKENS tokens that occur on two or more
-different pages. Such runs decide about open and hinted text: open blocks lose the tokens that runs cover and keep their
-unique runs; a hinted block goes if runs cover all of it. Other blocks of a marked article stay whole: a
-passage that two articles share is content. If a page marks an article, its open blocks are not part of it.
+The token streams of all of a host's pages are searched for runs of at least MIN_TOKENS tokens that occur on two or more
+different pages, and each block of each page is judged by its mark-up and by the runs together. Open blocks lose the
+tokens that runs cover and keep their unique runs; a hinted block goes if runs cover all of it. Other blocks of a marked
+article stay whole: a passage that two articles share is content. If a page marks an article, its open blocks are not
+part of it.
 
 A token lies in a run of MIN_TOKENS or more that another page has if and only if one of the windows of MIN_TOKENS tokens
 around it is on another page. So what a suffix array of all of a host's pages covers is found by an aggregate of window
-hashes (128 bits) by host, which spreads a host of any size over tasks; the result does not depend on how.
+hashes (96 bits, by host), which spreads a host of any size over tasks; the result does not depend on how. Most windows
+are on one page only: 40 bits of the hashes, packed, tell which may have met, a bitmap of fixed size has these, and only
+windows in it are aggregated by their whole hashes. So the bitmap may let too many through and never loses one.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,11 @@ MAIN, OPEN, BOILERPLATE = 2, 1, 0
 #: Added to MAIN or OPEN where a class or id hints at boilerplate.
 HINT = 4
 
+#: Bits of the map of windows that may have met: 16 MB, whatever the input. A bucket is a slice of it.
+FILTER_BITS, BUCKET_BITS = 27, 8
+#: Windows whose hashes a task holds at once.
+HELD = 4 << 20
+
 #: Fixed values of HTML: elements by what they do to text.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -134,36 +143,77 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def window_hashes(tokens: list[str], min_tokens: int) -> list[bytes]:
-    """128 bits for each run of min_tokens tokens, by where it starts."""
+KEY = np.dtype([("h", "<i8"), ("g", "<i4"), ("_", "<i4")])
+
+
+def tokens_of(blocks: list[tuple[int, str]]) -> list[str]:
+    return [w for _, text in blocks for w in text.split(" ")]
+
+
+def hashes(data: list[bytes], where: str) -> np.ndarray:
+    """96 bits (h, g) of each, by host."""
+    seed = xxhash.xxh3_64_intdigest(where.encode("utf-8", "surrogatepass"))
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, seed) for x in data), KEY)
+
+
+def stream_hash(tokens: list[str], where: str) -> np.ndarray:
+    """Tells a page's token stream: pages of a host with equal streams are one page."""
+    return hashes([" ".join(tokens).encode("utf-8", "surrogatepass")], where)[0]
+
+
+def window_hashes(tokens: list[str], where: str, min_tokens: int) -> np.ndarray:
+    """For each run of min_tokens tokens, by where it starts."""
     data = [t.encode("utf-8", "surrogatepass") for t in tokens]
-    return [xxhash.xxh3_128_digest(b" ".join(data[k : k + min_tokens])) for k in range(len(data) - min_tokens + 1)]
+    return hashes([b" ".join(data[k : k + min_tokens]) for k in range(len(data) - min_tokens + 1)], where)
 
 
-def stream_hash(tokens: list[str]) -> bytes:
-    """Tells a page's token stream: pages with equal streams are one page."""
-    return xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass"))
+def streams(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each batch: (stream, windows) of its pages; of pages that are one, the first in a task."""
+    met: set[bytes] = set()
+    for b in batches:
+        out = []
+        for where, x in zip(b.column("_host").to_pylist(), b.column("_html").to_pylist(), strict=True):
+            tokens = tokens_of(blocks_of(x))
+            own = stream_hash(tokens, where)
+            if own.tobytes() not in met:
+                met.add(own.tobytes())
+                out.append((own, window_hashes(tokens, where, min_tokens)))
+        yield out
 
 
-def tokens_of(blocks: list[tuple[int, str]]) -> list[str]:
-    return [w for _, text in blocks for w in text.split(" ")]
+def packed(x: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers, as the bytes of their steps."""
+    return zlib.compress(np.diff(x, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1), dtype=np.uint32)
 
 
-def settled(blocks: list[tuple[int, str]]) -> str | None:
-    """The text if structure alone decides it; None if the host's repeats must."""
-    if any(kind & 3 == MAIN for kind, _ in blocks):
-        return None if any(kind == MAIN | HINT for kind, _ in blocks) else "\n".join(text for kind, text in blocks if kind == MAIN)
-    return None if any(kind & 3 == OPEN for kind, _ in blocks) else ""
+def slices(held: list[np.ndarray]) -> pa.RecordBatch:
+    """(bucket, what is on a page, what is on two or more) of the 40-bit numbers of pages."""
+    values, counts = np.unique(np.concatenate(held), return_counts=True)
+    buckets, at = np.unique(values >> np.uint64(32), return_index=True)
+    parts = [(values[i:j].astype(np.uint32), counts[i:j] > 1) for i, j in zip(at, [*at[1:], len(values)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([packed(v) for v, _ in parts], pa.binary()), pa.array([packed(v[c]) for v, c in parts], pa.binary())], ["bucket", "once", "twice"])
 
 
-def uncovered(blocks: list[tuple[int, str]], shared: set[bytes], min_tokens: int = MIN_TOKENS) -> str:
-    """The text of a page that structure doesn't settle; shared has the hashes of windows that other pages have, too."""
-    tokens = tokens_of(blocks)
-    edges = np.zeros(len(tokens) + 1, np.int64)
-    for k, x in enumerate(window_hashes(tokens, min_tokens)):
-        if x in shared:
-            edges[k] += 1
-            edges[k + min_tokens] -= 1
+def slice_map(found: pa.Table) -> pa.Table:
+    """The bucket's slice of the map: what two pages have."""
+    values, counts = np.unique(np.concatenate([unpacked(x) for x in found.column("once").to_pylist()]), return_counts=True)
+    bits = np.zeros(1 << (FILTER_BITS - BUCKET_BITS), bool)
+    for x in (values[counts > 1], *(unpacked(x) for x in found.column("twice").to_pylist())):
+        bits[x >> np.uint32(32 - FILTER_BITS + BUCKET_BITS)] = True
+    return pa.table([pa.array([found.column("bucket")[0].as_py()], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bucket", "map"])
+
+
+def uncovered(blocks: list[tuple[int, str]], shared: list[int], min_tokens: int = MIN_TOKENS) -> str:
+    """The text of a page; shared has the places of the windows that other pages have, too."""
+    n = sum(text.count(" ") + 1 for _, text in blocks)
+    edges = np.zeros(n + 1, np.int64)
+    starts = np.array(shared, np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + min_tokens, -1)
     cover, at, kept = np.cumsum(edges)[:-1] > 0, 0, []
     place = MAIN if any(kind & 3 == MAIN for kind, _ in blocks) else OPEN
     for kind, text in blocks:
@@ -186,50 +236,61 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", id_col: str
     spark = pages.sparkSession
     python_ready(spark)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    texts = pages.select(whole_text(page).alias("_html"), host.alias("_host"))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url).alias("_url"), whole_text(page).alias("_html"), host.alias("_host"))
     id_type, url_type = pages.schema[id_col].dataType.simpleString(), pages.schema[url].dataType.simpleString()
+    low, slot = np.uint64(24), np.uint64(64 - FILTER_BITS)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for found in streams(batches, min_tokens):
+            for _, keys in found:
+                held.append(np.unique(keys["h"].astype(np.uint64) >> low))
+                n += len(held[-1])
+                if n >= HELD:
+                    yield slices(held)
+                    held, n = [], 0
+        if n:
+            yield slices(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(window, page, place) of the windows that the map has."""
+        bits = np.frombuffer(shared_map.value, np.uint8)
+        for found in streams(batches, min_tokens):
+            parts = []
+            for own, keys in found:
+                k = keys["h"].astype(np.uint64) >> slot
+                at = np.flatnonzero(bits[k >> np.uint64(3)] >> (np.uint64(7) - (k & np.uint64(7))).astype(np.uint8) & 1)
+                parts.append((keys["h"][at], keys["g"][at], np.full(len(at), own["h"]), np.full(len(at), own["g"]), at.astype(np.int32)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["h", "g", "s", "t", "place"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A page that structure settles has a text; another has its blocks and the hash of its stream."""
         for b in batches:
-            sigs, texts, kinds, parts = [], [], [], []
-            for x in b.column("_html").to_pylist():
-                blocks = blocks_of(x)
-                text = settled(blocks)
-                texts.append(text)
-                sigs.append(stream_hash(tokens_of(blocks)) if text is None else None)
-                kinds.append([k for k, _ in blocks] if text is None else [])
-                parts.append([t for _, t in blocks] if text is None else [])
+            found = [blocks_of(x) for x in b.column("_html").to_pylist()]
+            own = [stream_hash(tokens_of(x), where) for x, where in zip(found, b.column("_host").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in ("_id", "_url", "_host")), pa.array(sigs, pa.binary()), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.string()))],
-                ["_id", "_url", "_host", "_sig", "text", "kinds", "parts"],
+                [b.column("_id"), b.column("_url"), pa.array([int(x["h"]) for x in own], pa.int64()), pa.array([int(x["g"]) for x in own], pa.int32()), pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))],
+                ["_id", "_url", "s", "t", "kinds", "parts"],
             )
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(host, stream, open, hash) of the different windows of each page."""
-        for b in batches:
-            for where, x in zip(b.column("_host").to_pylist(), b.column("_html").to_pylist(), strict=True):
-                blocks = blocks_of(x)
-                tokens = tokens_of(blocks)
-                found = list(set(window_hashes(tokens, min_tokens)))
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([where] * n, pa.string()), pa.array([stream_hash(tokens)] * n, pa.binary()), pa.array([settled(blocks) is None] * n, pa.bool_()), pa.array(found, pa.binary())], ["_host", "_sig", "open", "hash"])
-
     def uncover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [uncovered(list(zip(k, t, strict=True)), set(c or ()), min_tokens) for k, t, c in zip(*(b.column(x).to_pylist() for x in ("kinds", "parts", "covers")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_url"), pa.array(texts, pa.string())], ["_id", "_url", "text"])
+            out = [uncovered(list(zip(k, t, strict=True)), c or [], min_tokens) for k, t, c in zip(*(b.column(x).to_pylist() for x in ("kinds", "parts", "covers")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_url"), pa.array(out, pa.string())], ["_id", "_url", "text"])
 
     scratch = Scratch(spark, "html_text")
-    parsed = scratch.save(rows.mapInArrow(parse, f"_id {id_type}, _url {url_type}, _host string, _sig binary, text string, kinds array<int>, parts array<string>"), "parsed")
-    done, unsettled = parsed.where("text IS NOT NULL").select("_id", "_url", "text"), parsed.where("text IS NULL")
-    hosts = scratch.save(unsettled.select("_host").distinct(), "hosts")
-    if hosts.limit(1).count():
-        seen = scratch.save(rows.join(hosts, "_host").select("_host", "_html").mapInArrow(windows, "_host string, _sig binary, open boolean, hash binary"), "windows")
-        shared = seen.groupBy("_host", "hash").agg(F.min("_sig").alias("a"), F.max("_sig").alias("z")).where("a <> z").select("_host", "hash")
-        covers = seen.where("open").select("_host", "_sig", "hash").distinct().join(shared, ["_host", "hash"]).groupBy("_host", "_sig").agg(F.collect_list("hash").alias("covers"))  # at most a page's windows
-        opened = unsettled.join(covers, ["_host", "_sig"], "left").select("_id", "_url", "kinds", "parts", "covers")
-        done = done.unionByName(opened.mapInArrow(uncover, f"_id {id_type}, _url {url_type}, text string"))
+    whole = np.zeros((1 << BUCKET_BITS, 1 << (FILTER_BITS - BUCKET_BITS - 3)), np.uint8)
+    for r in texts.mapInArrow(mark, "bucket int, once binary, twice binary").groupBy("bucket").applyInArrow(slice_map, "bucket int, map binary").collect():  # the map at most
+        whole[r["bucket"]] = np.frombuffer(zlib.decompress(r["map"]), np.uint8)
+    shared_map = spark.sparkContext.broadcast(whole.tobytes())
+    seen = scratch.save(texts.mapInArrow(meet, "h long, g int, s long, t int, place int"), "seen")
+    shared = scratch.save(seen.groupBy("h", "g").agg(*[f(x).alias(f"{x}{k}") for x in "st" for k, f in enumerate((F.min, F.max))]).where("s0 <> s1 or t0 <> t1").select("h", "g"), "shared")
+    covers = scratch.save(seen.join(shared, ["h", "g"]).groupBy("s", "t").agg(F.collect_set("place").alias("covers")), "covers")  # at most a page's windows
+    scratch.drop("seen")
+    scratch.drop("shared")
+    parsed = rows.mapInArrow(parse, f"_id {id_type}, _url {url_type}, s long, t int, kinds array<int>, parts array<string>")
+    done = parsed.join(covers, ["s", "t"], "left").select("_id", "_url", "kinds", "parts", "covers").mapInArrow(uncover, f"_id {id_type}, _url {url_type}, text string")
     return done.withColumn("n_chars", F.char_length("text").cast("long")).toDF(id_col, url, "text", "n_chars")
 
 
