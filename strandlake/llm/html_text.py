@@ -14,7 +14,7 @@ part of it.
 A token lies in a run of MIN_TOKENS or more that another page has if and only if one of the windows of MIN_TOKENS tokens
 around it is on another page. So what a suffix array of all of a host's pages covers is found by an aggregate of window
 hashes (96 bits, by host), which spreads a host of any size over tasks; the result does not depend on how. Most windows
-are on one page only: 40 bits of the hashes, packed, tell which may have met, a bitmap of fixed size has these, and only
+are on one page only: 32 bits of the hashes, packed, tell which may have met, a bitmap of fixed size has these, and only
 windows in it are aggregated by their whole hashes. So the bitmap may let too many through and never loses one.
 """
 
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,26 +151,47 @@ def tokens_of(blocks: list[tuple[int, str]]) -> list[str]:
     return [w for _, text in blocks for w in text.split(" ")]
 
 
-def hashes(data: list[bytes], where: str) -> np.ndarray:
-    """96 bits (h, g) of each, by host."""
-    seed = xxhash.xxh3_64_intdigest(where.encode("utf-8", "surrogatepass"))
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, seed) for x in data), KEY)
+def seed_of(where: str) -> int:
+    return xxhash.xxh3_64_intdigest(where.encode("utf-8", "surrogatepass"))
 
 
 def stream_hash(tokens: list[str], where: str) -> np.ndarray:
     """Tells a page's token stream: pages of a host with equal streams are one page."""
-    return hashes([" ".join(tokens).encode("utf-8", "surrogatepass")], where)[0]
-
-
-def window_hashes(tokens: list[str], where: str, min_tokens: int) -> np.ndarray:
-    """For each run of min_tokens tokens, by where it starts."""
-    data = [t.encode("utf-8", "surrogatepass") for t in tokens]
-    return hashes([b" ".join(data[k : k + min_tokens]) for k in range(len(data) - min_tokens + 1)], where)
+    return np.frombuffer(xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass"), seed_of(where)), KEY)[0]
+
+
+class TokenHashes(dict):
+    """128 bits of each token, worked out once while it is held."""
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= 1 << 20:
+            self.clear()
+        self[token] = found = xxhash.xxh3_128_digest(token.encode("utf-8", "surrogatepass"))
+        return found
+
+
+def window_hashes(tokens: list[str], where: str, min_tokens: int, known: TokenHashes) -> np.ndarray:
+    """96 bits (h, g), by host, for each run of min_tokens tokens, by where it starts: two polynomials of its tokens' hashes, mixed."""
+    n = len(tokens) - min_tokens + 1
+    out = np.zeros(max(n, 0), KEY)
+    if n > 0:
+        own = np.frombuffer(b"".join(map(known.__getitem__, tokens)), "<u8").reshape(-1, 2)
+        for name, half, factor in (("h", own[:, 0], 0x9E3779B97F4A7C15), ("g", own[:, 1], 0xD6E8FEB86659FD93)):
+            x = np.full(n, seed_of(where), np.uint64)
+            for k in range(min_tokens):
+                x *= np.uint64(factor)
+                x += half[k : k + n]
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            out[name] = x.view(np.int64) if name == "h" else (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return out
 
 
 def streams(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
     """For each batch: (stream, windows) of its pages; of pages that are one, the first in a task."""
     met: set[bytes] = set()
+    known = TokenHashes()
     for b in batches:
         out = []
         for where, x in zip(b.column("_host").to_pylist(), b.column("_html").to_pylist(), strict=True):
@@ -177,12 +199,12 @@ def streams(batches: Iterator[pa.RecordBatch], min_tokens: int) -> Iterator[list
             own = stream_hash(tokens, where)
             if own.tobytes() not in met:
                 met.add(own.tobytes())
-                out.append((own, window_hashes(tokens, where, min_tokens)))
+                out.append((own, window_hashes(tokens, where, min_tokens, known)))
         yield out
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers, as the bytes of their steps."""
+    """Sorted numbers, as the bytes of their steps."""
     return zlib.compress(np.diff(x, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
@@ -191,10 +213,10 @@ def unpacked(x: bytes) -> np.ndarray:
 
 
 def slices(held: list[np.ndarray]) -> pa.RecordBatch:
-    """(bucket, what is on a page, what is on two or more) of the 40-bit numbers of pages."""
+    """(bucket, what is on a page, what is on two or more) of the numbers of pages: 24 bits beside the bucket's."""
     values, counts = np.unique(np.concatenate(held), return_counts=True)
-    buckets, at = np.unique(values >> np.uint64(32), return_index=True)
-    parts = [(values[i:j].astype(np.uint32), counts[i:j] > 1) for i, j in zip(at, [*at[1:], len(values)], strict=True)]
+    buckets, at = np.unique(values >> np.uint64(24), return_index=True)
+    parts = [((values[i:j] & np.uint64(0xFFFFFF)).astype(np.uint32), counts[i:j] > 1) for i, j in zip(at, [*at[1:], len(values)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([packed(v) for v, _ in parts], pa.binary()), pa.array([packed(v[c]) for v, c in parts], pa.binary())], ["bucket", "once", "twice"])
 
 
@@ -203,10 +225,22 @@ def slice_map(found: pa.Table) -> pa.Table:
     values, counts = np.unique(np.concatenate([unpacked(x) for x in found.column("once").to_pylist()]), return_counts=True)
     bits = np.zeros(1 << (FILTER_BITS - BUCKET_BITS), bool)
     for x in (values[counts > 1], *(unpacked(x) for x in found.column("twice").to_pylist())):
-        bits[x >> np.uint32(32 - FILTER_BITS + BUCKET_BITS)] = True
+        bits[x >> np.uint32(24 - FILTER_BITS + BUCKET_BITS)] = True
     return pa.table([pa.array([found.column("bucket")[0].as_py()], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bucket", "map"])
 
 
+def met_elsewhere(h: np.ndarray, g: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Which rows have a window (h, g) that rows of another page (s, t) have, too."""
+    order = np.lexsort((g, h))
+    first = np.ones(len(h), bool)
+    first[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+    starts = np.flatnonzero(first)
+    two = np.zeros(len(starts), bool)
+    for x in (s[order], t[order]):
+        two |= np.minimum.reduceat(x, starts) != np.maximum.reduceat(x, starts)
+    return order[two[np.cumsum(first) - 1]]
+
+
 def uncovered(blocks: list[tuple[int, str]], shared: list[int], min_tokens: int = MIN_TOKENS) -> str:
     """The text of a page; shared has the places of the windows that other pages have, too."""
     n = sum(text.count(" ") + 1 for _, text in blocks)
@@ -239,7 +273,7 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", id_col: str
     texts = pages.select(whole_text(page).alias("_html"), host.alias("_host"))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url).alias("_url"), whole_text(page).alias("_html"), host.alias("_host"))
     id_type, url_type = pages.schema[id_col].dataType.simpleString(), pages.schema[url].dataType.simpleString()
-    low, slot = np.uint64(24), np.uint64(64 - FILTER_BITS)
+    low, slot = np.uint64(32), np.uint64(64 - FILTER_BITS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -265,18 +299,30 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", id_col: str
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["h", "g", "s", "t", "place"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(page, place) of the windows that another page has. All rows of a window are in one task."""
+        held = [[b.column(x).to_numpy(zero_copy_only=False) for x in ("h", "g", "s", "t", "place")] for b in batches]
+        if held:
+            h, g, s, t, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            found = met_elsewhere(h, g, s, t) if len(h) else np.zeros(0, np.int64)
+            for k in range(0, len(found), 1 << 18):
+                at = found[k : k + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(t[at]), pa.array(place[at])], ["s", "t", "place"])
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=6)
         for b in batches:
             found = [blocks_of(x) for x in b.column("_html").to_pylist()]
             own = [stream_hash(tokens_of(x), where) for x, where in zip(found, b.column("_host").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), b.column("_url"), pa.array([int(x["h"]) for x in own], pa.int64()), pa.array([int(x["g"]) for x in own], pa.int32()), pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))],
+                [b.column("_id"), b.column("_url"), pa.array([int(x["h"]) for x in own], pa.int64()), pa.array([int(x["g"]) for x in own], pa.int32()), pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int32())), pa.array([squeeze.compress("\n".join(t for _, t in x).encode("utf-8", "surrogatepass")) for x in found], pa.binary())],
                 ["_id", "_url", "s", "t", "kinds", "parts"],
             )
 
     def uncover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loosen = zstandard.ZstdDecompressor()
         for b in batches:
-            out = [uncovered(list(zip(k, t, strict=True)), c or [], min_tokens) for k, t, c in zip(*(b.column(x).to_pylist() for x in ("kinds", "parts", "covers")), strict=True)]
+            out = [uncovered(list(zip(k, loosen.decompress(t).decode("utf-8", "surrogatepass").split("\n"), strict=True)) if k else [], c or [], min_tokens) for k, t, c in zip(*(b.column(x).to_pylist() for x in ("kinds", "parts", "covers")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_url"), pa.array(out, pa.string())], ["_id", "_url", "text"])
 
     scratch = Scratch(spark, "html_text")
@@ -284,12 +330,9 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", id_col: str
     for r in texts.mapInArrow(mark, "bucket int, once binary, twice binary").groupBy("bucket").applyInArrow(slice_map, "bucket int, map binary").collect():  # the map at most
         whole[r["bucket"]] = np.frombuffer(zlib.decompress(r["map"]), np.uint8)
     shared_map = spark.sparkContext.broadcast(whole.tobytes())
-    seen = scratch.save(texts.mapInArrow(meet, "h long, g int, s long, t int, place int"), "seen")
-    shared = scratch.save(seen.groupBy("h", "g").agg(*[f(x).alias(f"{x}{k}") for x in "st" for k, f in enumerate((F.min, F.max))]).where("s0 <> s1 or t0 <> t1").select("h", "g"), "shared")
-    covers = scratch.save(seen.join(shared, ["h", "g"]).groupBy("s", "t").agg(F.collect_set("place").alias("covers")), "covers")  # at most a page's windows
-    scratch.drop("seen")
-    scratch.drop("shared")
-    parsed = rows.mapInArrow(parse, f"_id {id_type}, _url {url_type}, s long, t int, kinds array<int>, parts array<string>")
+    seen = texts.mapInArrow(meet, "h long, g int, s long, t int, place int").repartition("h").mapInArrow(compare, "s long, t int, place int")
+    covers = scratch.save(seen.groupBy("s", "t").agg(F.collect_set("place").alias("covers")), "covers")  # at most a page's windows
+    parsed = rows.mapInArrow(parse, f"_id {id_type}, _url {url_type}, s long, t int, kinds array<int>, parts binary")
     done = parsed.join(covers, ["s", "t"], "left").select("_id", "_url", "kinds", "parts", "covers").mapInArrow(uncover, f"_id {id_type}, _url {url_type}, text string")
     return done.withColumn("n_chars", F.char_length("text").cast("long")).toDF(id_col, url, "text", "n_chars")
 
