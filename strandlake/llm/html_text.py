@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Scratch, python_ready, table, whole_text
+from strandlake.llm.common import Scratch, freed_shuffles, python_ready, table, whole_text
 
 MIN_TOKENS = 8
 MAIN, OPEN, BOILERPLATE = 2, 1, 0
@@ -327,11 +327,12 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", id_col: str
 
     scratch = Scratch(spark, "html_text")
     whole = np.zeros((1 << BUCKET_BITS, 1 << (FILTER_BITS - BUCKET_BITS - 3)), np.uint8)
-    for r in texts.mapInArrow(mark, "bucket int, once binary, twice binary").groupBy("bucket").applyInArrow(slice_map, "bucket int, map binary").collect():  # the map at most
-        whole[r["bucket"]] = np.frombuffer(zlib.decompress(r["map"]), np.uint8)
-    shared_map = spark.sparkContext.broadcast(whole.tobytes())
-    seen = texts.mapInArrow(meet, "h long, g int, s long, t int, place int").repartition("h").mapInArrow(compare, "s long, t int, place int")
-    covers = scratch.save(seen.groupBy("s", "t").agg(F.collect_set("place").alias("covers")), "covers")  # at most a page's windows
+    with freed_shuffles(spark):
+        for r in texts.mapInArrow(mark, "bucket int, once binary, twice binary").groupBy("bucket").applyInArrow(slice_map, "bucket int, map binary").collect():  # the map at most
+            whole[r["bucket"]] = np.frombuffer(zlib.decompress(r["map"]), np.uint8)
+        shared_map = spark.sparkContext.broadcast(whole.tobytes())
+        seen = texts.mapInArrow(meet, "h long, g int, s long, t int, place int").repartition("h").mapInArrow(compare, "s long, t int, place int")
+        covers = scratch.save(seen.groupBy("s", "t").agg(F.collect_set("place").alias("covers")), "covers")  # at most a page's windows
     parsed = rows.mapInArrow(parse, f"_id {id_type}, _url {url_type}, s long, t int, kinds array<int>, parts binary")
     done = parsed.join(covers, ["s", "t"], "left").select("_id", "_url", "kinds", "parts", "covers").mapInArrow(uncover, f"_id {id_type}, _url {url_type}, text string")
     return done.withColumn("n_chars", F.char_length("text").cast("long")).toDF(id_col, url, "text", "n_chars")
